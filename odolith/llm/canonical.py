@@ -88,7 +88,8 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
 
 
 def _edit_ratio(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    """Edits by length; names under four letters count as four, so that one edit is allowed in any name."""
+    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(4))
 
 
 def _sorted_words(c: Column) -> Column:

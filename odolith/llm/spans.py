@@ -131,60 +131,92 @@ def _requests(paths: DataFrame) -> DataFrame:
     return paths.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("paths"))
 
 
-def spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
-    """All stretches that may be shared, keyed by content: ``(doc_id, start, length, content)``, a written table.
+def _grid(min_span: int) -> tuple[int, int, int]:
+    """Length of a k-mer, step between the cores around a node, length of a core: every stretch of ``min_span`` that holds
+    the node contains a core that starts a multiple of ``step`` before the node."""
+    k = min_span // 2
+    step = max(1, min_span // 12)
+    return k, step, min_span - step
+
 
-    A path of at least ``min_span`` code points is a stretch of its own; around the ends of every path, each stretch of
-    exactly ``min_span`` code points that holds the end node is one more. Two texts share a stretch of ``min_span`` exactly
-    if they have a row with equal ``length`` and ``content``, a 128-bit digest of the text at these coordinates.
+def cores(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """Source coordinates of all stretches that may be shared: ``(doc_id, start, length, content, left, right)``, a written table.
 
-    ``doc_id`` must be unique. Null texts and ones shorter than ``min_span`` have no rows; very long ones are processed whole.
+    A path of at least ``min_span`` code points is one row (``left`` and ``right`` null). Around the ends of every path there
+    are cores, somewhat shorter than ``min_span``, with the code points just before and after them: a stretch of ``min_span``
+    that holds the node is a core with some of these. ``content`` is a 128-bit digest of the text at the coordinates.
     """
     occ = settled(occurrences(docs, min_span))
     node = settled(nodes(occ))
     paths = settled(compacted(node, min_span))
-    k = min_span // 2
+    k, step, core = _grid(min_span)
+    names = ["doc_id", "start", "length", "content", "left", "right"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        rows: list[tuple] = []
         for batch in batches:
-            ids, starts, lengths, contents = [], [], [], []
             for ident, text, wanted in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode("utf-32-le", "surrogatepass")
-                n = len(raw) // 4
+                digest = lambda s, length, raw=raw: xxhash.xxh3_128_digest(raw[4 * s : 4 * (s + length)])
                 places = set()
                 for p in wanted:
                     first, last = p["first"], p["last"]
                     if last + k - first >= min_span:
-                        places.add((first, last + k - first))
-                    for node_at in {first, last}:
-                        places.update((s, min_span) for s in range(max(0, node_at + k - min_span), min(node_at, n - min_span) + 1))
-                for s, length in sorted(places):
-                    ids.append(ident)
-                    starts.append(s)
-                    lengths.append(length)
-                    contents.append(xxhash.xxh3_128_digest(raw[4 * s : 4 * (s + length)]))
-                if len(ids) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(contents, pa.binary())], names=["doc_id", "start", "length", "content"])
-                    ids, starts, lengths, contents = [], [], [], []
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(contents, pa.binary())], names=["doc_id", "start", "length", "content"])
+                        rows.append((ident, first, last + k - first, digest(first, last + k - first), None, None))
+                    for at in {first, last}:
+                        places.update(s for s in range(at, at - (min_span - k) - 1, -step) if 0 <= s <= len(text) - core)
+                rows.extend((ident, s, core, digest(s, core), text[max(0, s - step) : s], text[s + core : s + core + step]) for s in sorted(places))
+                if len(rows) > 100_000:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
     wanted = settled(_requests(paths))
     # only texts with nodes are read on; a shuffle of all texts is avoided where the list of them is measured to be short
     few = plan_bytes(wanted) <= BROADCAST_BYTES // 4
     source = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     met = source.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "paths")
-    return settled(met.mapInArrow(run, "doc_id bigint, start int, length int, content binary"))
+    return settled(met.mapInArrow(run, "doc_id bigint, start int, length int, content binary, left string, right string"))
 
 
-def shared(found: DataFrame) -> DataFrame:
-    """The rows of ``spans`` whose content two or more texts have, with ``class`` (a digest of the set of these texts)."""
+def _classes(rows: DataFrame, key: list[str], *more) -> DataFrame:
+    """Per key that two or more texts have, the digest ``class`` of the set of these texts."""
+    one = rows.groupBy(*key, "doc_id").agg(*[f(c).alias(n) for n, f, c in more], F.count(F.lit(1)).alias("rows")) if more else rows.select(*key, "doc_id").distinct()
+    over = {"min": F.min, "max": F.max}
+    group = one.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), *[over[n[:3]](n).alias(n) for n, _, _ in more])
+    return group.filter("lo < hi").withColumn("class", F.struct("lo", "hi", "texts", "x", "y")).drop("lo", "hi", "texts", "x", "y")
+
+
+def shared(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """``(doc_id, start, end, class)``: stretches of at least ``min_span`` code points that all texts of a set have in common,
+    a written table. Together they cover every stretch of ``min_span`` that any two texts share.
+
+    A path, and a core whose occurrences all have the same code points before and after it, lies inside a shared stretch
+    and is one row. Other cores are at an end of one: there each way to complete the core to ``min_span`` is looked up.
+    ``doc_id`` must be unique; a null one, null texts and ones shorter than ``min_span`` have no rows; very long texts are
+    processed whole; repetition inside one text is no sharing.
+    """
+    found = cores(docs, min_span)
+    _, step, core = _grid(min_span)
     key = ["length", "content"]
-    one = found.select(*key, "doc_id").distinct()
-    group = one.groupBy(*key).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
-    return found.join(group.filter("lo < hi"), key).withColumn("class", F.struct("lo", "hi", "texts", "x", "y"))
+    sides = [(f"{m}_{c}", {"min": F.min, "max": F.max}[m], F.xxhash64(c)) for m in ("min", "max") for c in ("left", "right")]
+    full = [("min_full_left", F.min, F.length("left")), ("min_full_right", F.min, F.length("right"))]
+    group = _classes(found, key, *sides, *full)
+    same = (F.col("min_left") == F.col("max_left")) & (F.col("min_right") == F.col("max_right")) & (F.col("min_full_left") == step) & (F.col("min_full_right") == step)
+    met = settled(found.join(group.withColumn("inner", F.coalesce(same, F.lit(False))).select(*key, "inner", "class"), key))
+    path = F.col("left").isNull()
+    inner = met.filter(path | F.col("inner")).select("doc_id", F.when(path, F.col("start")).otherwise(F.col("start") - step).alias("start"), F.when(path, F.col("start") + F.col("length")).otherwise(F.col("start") + core + step).alias("end"), "class")
+    ways = met.filter(~path & ~F.col("inner")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(step))))
+    fit = (F.col("s") <= F.length("left")) & (step - F.col("s") <= F.length("right"))
+    before, after = F.expr("right(left, s)"), F.expr(f"left(right, {step} - s)")
+    edge = ways.filter(fit).select("doc_id", (F.col("start") - F.col("s")).alias("start"), F.xxhash64("content", "s", before, after).alias("k1"), F.xxhash64(F.lit(1), after, before, "content").alias("k2"))
+    edge = edge.join(_classes(edge, ["k1", "k2"]), ["k1", "k2"]).select("doc_id", "start", (F.col("start") + min_span).alias("end"), "class")
+    return settled(inner.unionByName(edge))
 
 
 def shared_pairs(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
@@ -193,8 +225,7 @@ def shared_pairs(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     Stretches that the same set of texts shares are one class, and pairs are formed once per class, so a passage costs its
     pairs once, not once per position. All pairs of a class are true pairs: the work is that of the result.
     """
-    member = shared(spans(docs, min_span)).select("class", "doc_id").distinct()
-    member = settled(member)
+    member = settled(shared(docs, min_span).select("class", "doc_id").distinct())
     a = member.select("class", F.col("doc_id").alias("doc_id_a"))
     b = member.select("class", F.col("doc_id").alias("doc_id_b"))
     return a.join(b, "class").filter("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
@@ -206,7 +237,7 @@ def coverage(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     Overlapping shared stretches are merged to ``spans``; ``longest`` is the longest merged one. Documents that share
     nothing, also null, empty and short ones, come out with zeros (``n_chars`` null with the text).
     """
-    hit = shared(spans(docs, min_span)).select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    hit = shared(docs, min_span).select("doc_id", "start", "end").distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = hit.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))

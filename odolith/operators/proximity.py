@@ -27,10 +27,23 @@ def points(df: DataFrame, ident: str, x: str = "x", y: str = "y", **extra: str |
     return have.select(*cols, *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in extra.items()]).distinct()
 
 
+#: Width of a grid cell in radii. Wider cells mean fewer copies of a point on the one side (2.25 on average) and more
+#: pairs to test on the other.
+CELL = 4.0
+
+
 def gridded(df: DataFrame, size: float) -> DataFrame:
+    """One row a point, with its grid cell."""
     return df.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
 
 
+def spread(df: DataFrame, size: float, radius: float) -> DataFrame:
+    """A row for every grid cell that holds a place at most ``radius`` from the point: one to four of them."""
+    reach = radius * 1.000001  # so that no pair at exactly the radius is lost to rounding
+    span = lambda c: F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
+    return df.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
+
+
 def _split(left: DataFrame, right: DataFrame, keys: list[str], left_id: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with a ``salt``: the left one's crowded grid cells spread, the right one's rows there repeated."""
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -44,16 +57,15 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, *, strict:
     """Pairs ``(left_id, right_id, distance)`` of two point sets at most ``radius`` apart.
 
     Both sides have ``id``, ``x``, ``y``; the left columns other than these are kept, prefixed by ``left_``, the right
-    ones by ``right_``. Grid cells are as wide as the radius, so a right point is sent to nine cells and every pair
-    meets in exactly one. ``strict`` takes only pairs nearer than the radius. ``exact`` verifies (with
-    ``geo.great_circle`` the grid must be in the same unit as the radius, so project first).
+    ones by ``right_``. A left point goes to its grid cell, a right one to every cell its neighbourhood touches, so every
+    pair meets in exactly one cell and is then verified. ``strict`` takes only pairs nearer than the radius. ``exact``
+    verifies (with ``geo.great_circle`` the grid must be in the same unit as the radius, so project first).
     """
     if not radius > 0:
         raise ValueError("radius must be positive")
-    a = gridded(left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns], "x", "y"), radius).drop("x", "y")
-    b = gridded(right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns], "x", "y"), radius).drop("x", "y")
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = b.withColumn("step", F.explode(steps)).withColumn("gx", F.col("gx") + F.col("step.i")).withColumn("gy", F.col("gy") + F.col("step.j")).drop("step")
+    size = CELL * radius
+    a = gridded(left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns], "x", "y"), size).drop("x", "y")
+    b = spread(right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns], "x", "y"), size, radius).drop("x", "y")
     a, b = _split(a, b, ["gx", "gy"], "left_id")
     d = exact(F.col("left_x"), F.col("left_y"), F.col("right_x"), F.col("right_y"))
     near = d < radius if strict else d <= radius
@@ -61,29 +73,20 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, *, strict:
 
 
 def near_pairs(pts: DataFrame, radius: float) -> DataFrame:
-    """Unordered pairs ``(left_id, right_id, distance)`` of one point set at most ``radius`` apart, smaller id left.
-
-    Each pair is met once: a point is sent to its own grid cell and four of its eight neighbours, the other four being
-    covered from the other side; inside one cell only the ordered half of the pairs passes.
-    """
-    if not radius > 0:
-        raise ValueError("radius must be positive")
-    base = gridded(pts.select("id", "x", "y"), radius)
-    a = base.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), "gx", "gy")
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])
-    b = base.withColumn("step", F.explode(steps))
-    b = b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), (F.col("gx") + F.col("step.i")).alias("gx"), (F.col("gy") + F.col("step.j")).alias("gy"), ((F.col("step.i") == 0) & (F.col("step.j") == 0)).alias("same"))
-    a, b = _split(a, b, ["gx", "gy"], "a_id")
-    d = geo.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    pairs = a.join(b, ["gx", "gy", "salt"]).filter((~F.col("same") | (F.col("a_id") < F.col("b_id"))) & (F.col("a_id") != F.col("b_id"))).withColumn("distance", d).filter(d <= radius)
-    return pairs.select(F.least("a_id", "b_id").alias("left_id"), F.greatest("a_id", "b_id").alias("right_id"), "distance")
+    """Unordered pairs ``(left_id, right_id, distance)`` of one point set at most ``radius`` apart, smaller id left."""
+    met = within_distance(pts.select("id", "x", "y"), pts.select("id", "x", "y"), radius)
+    return met.filter("left_id < right_id").select("left_id", "right_id", "distance")
 
 
 def regions(df: DataFrame, ident: str, wkt: str) -> DataFrame:
-    """Distinct ``(id, edges, box)`` of the rows with a geometry that has at least one ring."""
-    g = df.filter(F.col(ident).isNotNull() & F.col(wkt).isNotNull()).select(F.col(ident).alias("id"), F.col(wkt).alias("wkt")).distinct()
-    g = g.withColumn("rings", geo.rings_of_wkt("wkt")).filter(F.size("rings") > 0)
-    return g.select("id", geo.ring_edges("rings").alias("edges"), geo.bounds("rings").alias("box"))
+    """``(id, wkt, box)`` of the rows with a geometry that has coordinates; repeated rows stay until the join."""
+    g = df.filter(F.col(ident).isNotNull() & F.col(wkt).rlike(r"\(\s*[-+.\d]")).select(F.col(ident).alias("id"), F.col(wkt).alias("wkt"))
+    return g.withColumn("box", geo.bounds(geo.rings_of_wkt("wkt")))
+
+
+def edges_of(polys: DataFrame) -> DataFrame:
+    """``(id, edges)`` of distinct regions."""
+    return polys.select("id", "wkt").distinct().select("id", geo.ring_edges(geo.rings_of_wkt("wkt")).alias("edges"))
 
 
 def inside(pts: DataFrame, polys: DataFrame, smallest: float = 64.0) -> DataFrame:
@@ -91,17 +94,22 @@ def inside(pts: DataFrame, polys: DataFrame, smallest: float = 64.0) -> DataFram
 
     Regions come in very different sizes, so the grid has levels of doubling cell width: a region is hashed at the level
     whose cells are at least as wide as its bounding box, hence to at most four cells, and a point at every level that
-    some region uses (a few dozen at most, whatever the data). A region so wide that the world is one cell meets all
-    points, as it must.
+    some region uses (a few dozen at most, whatever the data). Only bounding boxes take part in this join; the geometry is
+    shuffled once, to the points inside its box, and tested exactly there.
     """
-    box = polys.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"), F.lit(smallest)) / smallest))).cast("int"))
+    b = polys.filter(F.col("box.x0").isNotNull() & F.col("box.y0").isNotNull()).select(F.col("id").alias("right_id"), "box").distinct()
+    wide = F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"), F.lit(smallest))
+    b = b.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(wide / smallest))).cast("int"))
     size = F.pow(F.lit(2.0), F.col("level")) * smallest
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    b = box.withColumn("gx", F.explode(span("box.x0", "box.x1"))).withColumn("gy", F.explode(span("box.y0", "box.y1")))
-    b = b.select(F.col("id").alias("right_id"), "edges", "box", "level", "gx", "gy")
-    levels = F.broadcast(box.select("level").distinct())  # integers from 0 to about 60
+    levels = F.broadcast(b.select("level").distinct())  # integers from 0 to about 60
+    b = b.withColumn("gx", F.explode(span("box.x0", "box.x1"))).withColumn("gy", F.explode(span("box.y0", "box.y1")))
     a = pts.withColumnRenamed("id", "left_id").crossJoin(levels)
     a = a.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
     a, b = _split(a, b, ["level", "gx", "gy"], "left_id")
-    hit = a.join(b, ["level", "gx", "gy", "salt"]).filter(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
-    return hit.filter(geo.contains("edges", "x", "y")).drop("level", "gx", "gy", "salt", "edges", "box")
+    maybe = a.join(b, ["level", "gx", "gy", "salt"]).filter(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
+    maybe = maybe.drop("level", "gx", "gy", "salt", "box")
+    # one shuffle by id serves both the removal of repeated rows and the join; a region full of points is split by AQE
+    shape = polys.select(F.col("id").alias("right_id"), "wkt").repartition("right_id").distinct()
+    shape = shape.select("right_id", geo.ring_edges(geo.rings_of_wkt("wkt")).alias("edges"))
+    return maybe.join(shape, "right_id").filter(geo.contains("edges", "x", "y")).drop("edges")

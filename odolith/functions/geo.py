@@ -68,26 +68,44 @@ def contains(edges: Column | str, x: Column | str, y: Column | str) -> Column:
     return F.aggregate(col(edges), F.lit(False), lambda inside, e: inside != F.coalesce(crosses(x, y, e), F.lit(False)))
 
 
+def _turned(rings: Column) -> Column:
+    """Rings as ``(edges, sign)``: +1 or -1 so that, whichever way rings were written, shells count positive and holes negative.
+
+    A ring is a hole if its first position lies inside an odd number of the other rings.
+    """
+    each = F.transform(rings, lambda r, i: F.struct(r.alias("r"), i.alias("i")))
+
+    def one(ring: Column) -> Column:
+        others = F.transform(F.filter(each, lambda o: o["i"] != ring["i"]), lambda o: o["r"])
+        p = ring["r"][0]
+        edges = ring_edges(F.array(ring["r"]))
+        doubled = F.aggregate(edges, F.lit(0.0), lambda a, s: a + (s["x1"] - p["x"]) * (s["y2"] - p["y"]) - (s["x2"] - p["x"]) * (s["y1"] - p["y"]))
+        return F.struct(edges.alias("edges"), (F.signum(doubled) * F.when(contains(ring_edges(others), p["x"], p["y"]), -1.0).otherwise(1.0)).alias("sign"))
+
+    return F.transform(each, one)
+
+
 def area(rings: Column | str) -> Column:
-    """Area by the shoelace rule: the first ring of a part counts as shell if it turns against later ones; all rings'
-    signed areas are summed, so holes written with the opposite turn are taken off."""
-    e = ring_edges(rings)
-    return F.abs(F.aggregate(e, F.lit(0.0), lambda a, s: a + s["x1"] * s["y2"] - s["x2"] * s["y1"])) / 2
+    """Area inside the rings by the shoelace rule; 0 for none. Rings may be written in either direction."""
+    rings = col(rings)
+    o = F.try_element_at(F.flatten(rings), F.lit(1))
+    cross = lambda s: (s["x1"] - o["x"]) * (s["y2"] - o["y"]) - (s["x2"] - o["x"]) * (s["y1"] - o["y"])
+    return F.aggregate(_turned(rings), F.lit(0.0), lambda a, t: a + t["sign"] * F.aggregate(t["edges"], F.lit(0.0), lambda b, s: b + cross(s))) / 2
 
 
 def centroid(rings: Column | str) -> Column:
-    """Area centroid ``struct<x,y>`` of the rings; the mean of the positions where the area is zero."""
+    """Area centroid ``struct<x,y>`` of the rings; the mean of the positions where the area is zero; null for none."""
     rings = col(rings)
-    o = F.try_element_at(F.flatten(rings), F.lit(1))
+    points = F.flatten(rings)
+    o = F.try_element_at(points, F.lit(1))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    signed = F.flatten(F.transform(_turned(rings), lambda t: F.transform(t["edges"], lambda s: F.struct((s["x1"] - o["x"]).alias("x1"), (s["y1"] - o["y"]).alias("y1"), (s["x2"] - o["x"]).alias("x2"), (s["y2"] - o["y"]).alias("y2"), t["sign"].alias("sign")))))
 
     def add(acc: Column, s: Column) -> Column:
-        x1, y1, x2, y2 = s["x1"] - o["x"], s["y1"] - o["y"], s["x2"] - o["x"], s["y2"] - o["y"]
-        c = x1 * y2 - x2 * y1
-        return F.struct((acc["a"] + c).alias("a"), (acc["x"] + (x1 + x2) * c).alias("x"), (acc["y"] + (y1 + y2) * c).alias("y"))
+        c = s["sign"] * (s["x1"] * s["y2"] - s["x2"] * s["y1"])
+        return F.struct((acc["a"] + c).alias("a"), (acc["x"] + (s["x1"] + s["x2"]) * c).alias("x"), (acc["y"] + (s["y1"] + s["y2"]) * c).alias("y"))
 
-    m = F.aggregate(ring_edges(rings), zero, add)
-    points = F.flatten(rings)
+    m = F.aggregate(signed, zero, add)
     mean = lambda k: F.aggregate(F.transform(points, lambda p: p[k]), F.lit(0.0), lambda a, v: a + v) / F.size(points)
     return F.when(m["a"] != 0, F.struct((o["x"] + m["x"] / (3 * m["a"])).alias("x"), (o["y"] + m["y"] / (3 * m["a"])).alias("y"))).when(F.size(points) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y")))
 

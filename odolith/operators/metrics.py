@@ -124,7 +124,7 @@ def nearest_k(pairs: DataFrame, properties: Sequence[str], ks: Sequence[float],
                 value = F.when(F.max(F.when(mine, cum)) >= k, part)
             out.append(F.coalesce(value, F.lit(NAN)).alias(flat(f"{k:g}", p)))
     per = run.groupBy(*keys).agg(*out)
-    filled = [F.coalesce(F.col(flat(f"{k:g}", p)), F.lit(NAN)).alias(flat(f"{k:g}", p)) for k in ks for p in properties]
+    filled = [F.coalesce(F.col(f"`{n}`"), F.lit(NAN)).alias(n) for n in (flat(f"{k:g}", p) for k in ks for p in properties)]
     return origins.join(per, keys, "left").select(*keys, *filled)
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odolith.operators import metrics, od, routing
+from odolith.session import settled
 
 CELLS = [("A0", 0.0, 0.0, "a0", "ZA", 10.0), ("A1", 0.0, 1.0, "a1", "ZA", 20.0), ("B0", 3.0, 0.0, "b0", "ZB", 30.0), ("B1", 3.0, 1.0, "b1", "ZB", 40.0), ("C0", 10.0, 0.0, "c0", "ZC", 50.0), ("C1", 10.0, 1.0, "c1", "ZC", 60.0)]
 ZONES = [("ZA", "a0", 0.0, 0.5, 30.0), ("ZB", "b0", 3.0, 0.5, 70.0), ("ZC", "c0", 10.0, 0.5, 110.0)]
@@ -25,12 +26,12 @@ def dests(pairs, tier, origin):
 
 def test_pairs_routes_and_reach(world):
     cells, zones, graph = world
-    pairs = od.tiered_pairs(cells, zones, 2.0, 15.0, 5.0)
+    pairs = settled(od.tiered_pairs(cells, zones, 2.0, 15.0, 5.0))
     assert dests(pairs, "cells_to_cells", "a0") == {"a0", "a1"}
     assert dests(pairs, "cells_to_zones", "a0") == dests(pairs, "cells_to_zones", "a1") == {"b0"}
     assert dests(pairs, "zones_to_zones", "a0") == dests(pairs, "zones_to_zones", "b0") == {"c0"}
     assert dests(pairs, "zones_to_zones", "c0") == {"a0", "b0"}
-    costs = routing.tiered_costs(pairs, graph)
+    costs = settled(routing.tiered_costs(pairs, graph))
     got = {(r.tier, r.origin, r.dest): r.cost for r in costs.collect()}
     assert got["cells_to_zones", "a0", "b0"] == 3 and got["zones_to_zones", "a0", "c0"] == 10
     valued = od.dest_values(costs, ["population"], cells, zones)
@@ -43,7 +44,7 @@ def test_pairs_routes_and_reach(world):
 
 def test_masks_limit_either_side(world):
     cells, zones, _ = world
-    pairs = od.tiered_pairs(cells, zones, 2.0, 15.0, 5.0, origins=F.col("cell_id") == "A0", destinations=F.col("population") > 15)
+    pairs = settled(od.tiered_pairs(cells, zones, 2.0, 15.0, 5.0, origins=F.col("cell_id") == "A0", destinations=F.col("population") > 15))
     assert dests(pairs, "cells_to_cells", "a0") == {"a1"}
     assert {r.origin for r in pairs.collect()} == {"a0"}
 

@@ -46,11 +46,10 @@ def plain(entry: Column, field: str | None = None) -> Column:
 
 def grams(words: Column) -> Column:
     """Distinct tokens of an entry: letter pairs within each word with its ends marked, each word on its own, so word
-    order does not matter. Repeated pairs are numbered, so their count matters."""
+    order does not matter."""
     marked = F.transform(F.split(words, " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
     pairs = F.flatten(F.transform(marked, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-    numbered = F.transform(F.array_sort(pairs), lambda p, i: F.concat(p, (i - F.array_position(F.array_sort(pairs), p)).cast("string")))
-    return F.when(F.length(words) > 0, F.array_distinct(numbered)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(words) > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -88,8 +87,12 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
 
 
 def _edit_ratio(a: Column, b: Column) -> Column:
-    """Edits by length; names under four letters count as four, so that one edit is allowed in any name."""
-    return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(4))
+    """Edits by length; names under four letters count as four, so that one edit is allowed in any name. Between
+    anagrams one edit less is counted: letters in the wrong order are one slip, but two edits."""
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    n = F.levenshtein(a, b)
+    slip = F.when(n >= 2, (letters(a) == letters(b)).cast("int")).otherwise(0)
+    return (n - slip) / F.greatest(F.length(a), F.length(b), F.lit(4))
 
 
 def _sorted_words(c: Column) -> Column:
@@ -121,12 +124,15 @@ def canonicalize(values: DataFrame, reference: DataFrame, *, threshold: float =
     fields = [r[0] for r in reference.select("tag_key").distinct().orderBy("tag_key").limit(1_000).collect() if r[0]]
     words = F.coalesce(*[F.when(F.col("field") == f, plain(F.col("entry"), f)) for f in fields], plain(F.col("entry"))) if fields else plain(F.col("entry"))
     entries = settled(entries.withColumn("words", words))
-    forms = entries.select("field", "words").filter(F.length("words") > 0).distinct()
+    squash = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    # an entry so long that the allowed edits cannot shorten it to any name is unmatched without being cut into pairs
+    longest = names.agg(F.coalesce(F.max(F.length("words")), F.lit(0)).alias("longest"))
+    forms = entries.select("field", "words").filter(F.length("words") > 0).distinct().crossJoin(F.broadcast(longest))  # one row
+    forms = forms.filter(F.length(squash(F.col("words"))) * (1 - edits) <= F.col("longest")).drop("longest")
     token_sets = lambda df: df.select(F.col("field").alias("part"), F.col("words").alias("id"), grams(F.col("words")).alias("tokens")).distinct()
     met = similarity_join(token_sets(forms), token_sets(names), threshold)
     met = met.join(small(settled(names)).withColumnsRenamed({"field": "part", "words": "right_id"}), ["part", "right_id"])
     a, b = F.col("left_id"), F.col("right_id")
-    squash = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     ratio = F.least(_edit_ratio(a, b), _edit_ratio(squash(a), squash(b)), _edit_ratio(_sorted_words(a), _sorted_words(b)), _start_ratio(a, b))
     good = met.withColumn("ratio", ratio).filter(F.col("ratio") <= edits)
     best = good.groupBy("part", "left_id").agg(F.min(F.struct(F.round("ratio", 9).alias("r"), (-F.col("jaccard")).alias("j"), "tag_value")).alias("best"))

@@ -7,6 +7,8 @@ ring edges, whichever ring they belong to.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ from ..schema import col
 RINGS = "array<array<struct<x:double,y:double>>>"
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def rings_of_wkt(wkt: Column | str) -> Column:
     """Rings of a POLYGON or MULTIPOLYGON (any case and spacing). Null for null, empty array for EMPTY or no coordinates.
 
@@ -37,9 +44,11 @@ def path_of_wkt(wkt: Column | str) -> Column:
 
 def bounds(rings: Column | str) -> Column:
     """``struct<x0,y0,x1,y1>`` around all rings; its fields are null for an empty geometry."""
-    points = F.flatten(col(rings))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    def of(points: Column) -> Column:
+        xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+
+    return once(F.flatten(col(rings)), of)
 
 
 def segments(path: Column) -> Column:
@@ -87,7 +96,10 @@ def _turned(rings: Column) -> Column:
 
 def area(rings: Column | str) -> Column:
     """Area inside the rings by the shoelace rule; 0 for none. Rings may be written in either direction."""
-    rings = col(rings)
+    return once(col(rings), _area)
+
+
+def _area(rings: Column) -> Column:
     o = F.try_element_at(F.flatten(rings), F.lit(1))
     cross = lambda s: (s["x1"] - o["x"]) * (s["y2"] - o["y"]) - (s["x2"] - o["x"]) * (s["y1"] - o["y"])
     return F.aggregate(_turned(rings), F.lit(0.0), lambda a, t: a + t["sign"] * F.aggregate(t["edges"], F.lit(0.0), lambda b, s: b + cross(s))) / 2
@@ -95,7 +107,10 @@ def area(rings: Column | str) -> Column:
 
 def centroid(rings: Column | str) -> Column:
     """Area centroid ``struct<x,y>`` of the rings; the mean of the positions where the area is zero; null for none."""
-    rings = col(rings)
+    return once(col(rings), _centroid)
+
+
+def _centroid(rings: Column) -> Column:
     points = F.flatten(rings)
     o = F.try_element_at(points, F.lit(1))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
@@ -105,9 +120,9 @@ def centroid(rings: Column | str) -> Column:
         c = s["sign"] * (s["x1"] * s["y2"] - s["x2"] * s["y1"])
         return F.struct((acc["a"] + c).alias("a"), (acc["x"] + (s["x1"] + s["x2"]) * c).alias("x"), (acc["y"] + (s["y1"] + s["y2"]) * c).alias("y"))
 
-    m = F.aggregate(signed, zero, add)
     mean = lambda k: F.aggregate(F.transform(points, lambda p: p[k]), F.lit(0.0), lambda a, v: a + v) / F.size(points)
-    return F.when(m["a"] != 0, F.struct((o["x"] + m["x"] / (3 * m["a"])).alias("x"), (o["y"] + m["y"] / (3 * m["a"])).alias("y"))).when(F.size(points) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y")))
+    middle = lambda m: F.when(m["a"] != 0, F.struct((o["x"] + m["x"] / (3 * m["a"])).alias("x"), (o["y"] + m["y"] / (3 * m["a"])).alias("y"))).when(F.size(points) > 0, F.struct(mean("x").alias("x"), mean("y").alias("y")))
+    return once(F.aggregate(signed, zero, add), middle)
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

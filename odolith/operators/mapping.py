@@ -192,8 +192,9 @@ def transport_centroids(polys: DataFrame, pts: DataFrame, *, how: str = "median"
     met = inside(pts.select("id", "x", "y"), polys).groupBy(F.col("right_id").alias("id")).agg(agg("x").alias("x"), agg("y").alias("y"))
     if not geometric or rings is None:
         return met
-    own = rings.select("id", geo.centroid("rings").alias("c")).filter("c is not null").join(met.select("id"), "id", "left_anti")
-    return met.unionByName(own.select("id", "c.x", "c.y"))
+    met = settled(met)
+    own = rings.join(met.select("id"), "id", "left_anti").select("id", F.explode(F.array(geo.centroid("rings"))).alias("c"))
+    return met.unionByName(own.filter("c is not null").select("id", "c.x", "c.y"))
 
 
 def assign_to_centroid(polys: DataFrame, nodes: DataFrame, *, rings: DataFrame | None = None, how: str = "median", geometric: bool = True, max_distance: float = INF) -> DataFrame:

@@ -291,10 +291,10 @@ def _plot_edges(w: World) -> DataFrame:
     return plotdata.edge_values(keyed, values, "lane_count", default=1.0, widths={"motorway": 3.0, "trunk": 2.0}).select("edge_id", "lane_count", "width")
 
 
-@query("stream_counts", " SELECT time_bucket(INTERVAL 1 day, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("stream_counts", " SELECT strftime(ts, '%Y-%m-%d') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _stream_counts(w: World) -> DataFrame:
     """The batch form of the windowed counts; the streaming form of the same expression is tested against it."""
-    return counts.windowed(w.raw("events")).withColumn("total", F.round("total", 4))
+    return counts.windowed(w.raw("events")).withColumn("total", F.round("total", 4)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 @query("geo_measures")

@@ -14,6 +14,7 @@ from .world import SQL, World
 
 BINS = (metrics.Bin("short", 0, 600), metrics.Bin("medium", 600, 1800), metrics.Bin("long", 1800, 7200), metrics.Bin("any", 0, 1e9))
 PROPERTIES = ("pop", "emp")
+#: What the SQL of the routes stops at, and all that the bins of ``workflow_cumulative`` reach; the other routes are not cut.
 CUTOFF = 1500.0
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _S: dict[str, str] = {}
@@ -238,7 +239,7 @@ _ROUTES = f""", asked AS (SELECT DISTINCT origin, dest FROM pairs), d(o, n, c) U
 
 @query("route_costs", _ROUTES + "SELECT tier, p.origin, p.dest, round(c, 6) AS cost FROM pairs p LEFT JOIN d ON d.o = p.origin AND d.n = p.dest")
 def _route_costs(w: World) -> DataFrame:
-    return _clean(routing.tiered_costs(w.written_pairs, w.graph, cutoff=CUTOFF), ["tier", "origin", "dest"])
+    return _clean(routing.tiered_costs(w.written_pairs, w.graph), ["tier", "origin", "dest"])
 
 
 def _metric_pairs(w: World) -> DataFrame:
@@ -257,25 +258,25 @@ def _workflow(w: World) -> DataFrame:
 def _route_aggregate(w: World) -> DataFrame:
     edge = [routing.PathAggregation("lanes_sum", "lane_count"), routing.PathAggregation("longest", "length", "max")]
     node = [routing.NodeAggregation("signals", "is_traffic_signal"), routing.NodeAggregation("signals_inside", "is_traffic_signal", include_endpoints=False)]
-    return _clean(routing.tiered_aggregate(w.written_pairs, w.graph, nodes=w.nodes, edge_aggregations=edge, node_aggregations=node, cutoff=CUTOFF), ["tier", "origin", "dest"])
+    return _clean(routing.tiered_aggregate(w.written_pairs, w.graph, nodes=w.nodes, edge_aggregations=edge, node_aggregations=node), ["tier", "origin", "dest"])
 
 
 @query("route_utility")
 def _route_utility(w: World) -> DataFrame:
     u = utility.Utility(0.5, -0.01, (utility.RouteFeature(-0.1, routing.PathAggregation("lanes_sum", "lane_count")),), {"building_count": 0.01}, {"population": 0.001})
-    u0 = utility.route_utility(w.written_pairs, w.graph, u, cutoff=CUTOFF)
+    u0 = utility.route_utility(w.written_pairs, w.graph, u)
     return _clean(utility.add_endpoints(u0, u, w.cells, w.zones), ["tier", "origin", "dest"])
 
 
 @query("route_utility_costs", _ROUTES + "SELECT tier, p.origin, p.dest, round(-0.01 * c, 6) + 0.0 AS utility FROM pairs p LEFT JOIN d ON d.o = p.origin AND d.n = p.dest")
 def _utility_costs(w: World) -> DataFrame:
-    return _clean(utility.route_utility(w.written_pairs, w.graph, utility.Utility(cost_coefficient=-0.01), cutoff=CUTOFF), ["tier", "origin", "dest"])
+    return _clean(utility.route_utility(w.written_pairs, w.graph, utility.Utility(cost_coefficient=-0.01)), ["tier", "origin", "dest"])
 
 
 @query("route_trips", ", t AS (SELECT DISTINCT trip_id, nx_node_orig AS origin, nx_node_dest AS dest FROM legs WHERE nx_node_orig IS NOT NULL AND nx_node_dest IS NOT NULL), asked AS (SELECT origin, dest FROM t)" + _ROUTES[_ROUTES.index(", d(o, n, c)") :].replace(str(CUTOFF), "3000.0") + "SELECT trip_id, round(c, 6) AS cost, round(c, 6) AS distance FROM t JOIN d ON d.o = origin AND d.n = dest")
 def _route_trips(w: World) -> DataFrame:
     trips = w.raw("legs").filter("nx_node_orig is not null and nx_node_dest is not null").select("trip_id", F.col("nx_node_orig").alias("origin"), F.col("nx_node_dest").alias("dest")).distinct()
-    return _clean(routing.trip_metrics(trips, w.graph, cutoff=3000.0), ["trip_id"])
+    return _clean(routing.trip_metrics(trips, w.graph), ["trip_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -243,7 +243,7 @@ def _grid_hex(w: World) -> DataFrame:
 
 
 def _sample(w: World) -> DataFrame:
-    pairs = routing.tiered_costs(w.written_pairs, w.graph, cutoff=2000.0)
+    pairs = routing.tiered_costs(w.written_pairs, w.graph)
     valued = ods.dest_values(pairs, ["population"], w.cells, w.zones)
     starts = w.cells.filter("node_id is not null").groupBy(F.col("node_id").alias("origin")).agg(F.sum("population").alias("w"))
     return flows.nested_sample(valued, "population", w.cell_to_zone, starts, lambda c: F.exp(-0.001 * c), 2_000, 10, seed=5)
@@ -256,7 +256,7 @@ def _flow_sample(w: World) -> DataFrame:
 
 @query("flow_edges")
 def _flow_edges(w: World) -> DataFrame:
-    return _clean(flows.edge_flows(_sample(w).select("origin", "dest"), w.graph, 10_000.0, cutoff=2000.0), ["u", "v"])
+    return _clean(flows.edge_flows(_sample(w).select("origin", "dest"), w.graph, 10_000.0), ["u", "v"])
 
 
 @query("flow_compare", ", q AS (SELECT lane_count AS m, speed_kph AS o FROM e WHERE isfinite(lane_count) AND isfinite(speed_kph)) SELECT count(*) AS n, round(pow(corr(m, o), 2), 6) AS r2, round(sum(m * o) / sum(o * o), 6) AS slope, round(sqrt(avg((m - o) * (m - o))), 6) AS rmse FROM q")

@@ -67,9 +67,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_completed(spark: SparkSession, d: str) -> DataFrame:
-    """Every edge with both fields completed, by its street or else by the chained equations, and marks of what was filled."""
+    """Every edge with both fields completed, by its street or else by seeded draws from the chained equations, and marks of what was filled."""
     speed = F.when(F.col("speed_kph").isNotNull() & ~F.isnan("speed_kph"), F.floor(F.col("speed_kph") / 10))
-    return impute.chained(table(spark, d, "edges"), "edge_id", "way_id", _fields(spark, d), {"speed": speed, "oneway": F.col("oneway"), "parallel": F.col("k")})
+    return impute.chained(table(spark, d, "edges"), "edge_id", "way_id", _fields(spark, d), {"speed": speed, "oneway": F.col("oneway"), "parallel": F.col("k")}, draw=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

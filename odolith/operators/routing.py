@@ -1,8 +1,8 @@
 """Shortest paths: least costs, features along the paths, and the paths themselves.
 
-A graph is a table of directed edges. Two engines give the same costs: where the collapsed graph was counted to fit in
+A graph is a table of directed edges. Two engines give the same routes: where the collapsed graph was counted to fit in
 a bounded broadcast, each task searches it from its origins (Dijkstra with a cutoff, stopping once all destinations are
-settled); a larger graph stays distributed and is relaxed by joins, frontier by frontier.
+settled); a larger graph stays distributed and is relaxed by joins, frontier by frontier, and traced back by joins.
 
 Among paths of equal cost the one with fewer edges wins, then the one whose last step comes from the smaller node, so
 features along paths are defined.
@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import INF, NAN, DataError, finite, known, require, total
-from ..session import settled, shipped
+from ..session import settled, shared_folder, shipped
 
 #: Collapsed edges up to which a graph is broadcast (about 50 bytes each as arrays).
 BROADCAST_EDGES = 5_000_000
@@ -86,11 +87,11 @@ class _Graph:
 
 
 def _arrays(graph: DataFrame, attributes: Sequence[str], nodes: DataFrame | None, node: str, node_attributes: Sequence[str]) -> _Graph:
-    e = graph.select("u", "v", "weight", *[F.col(a).cast("double").alias(f"e{i}") for i, a in enumerate(attributes)]).toPandas()
+    e = graph.select("u", "v", "weight", *[F.col(a).cast("double").alias(f"e{i}") for i, a in enumerate(attributes)]).toArrow()  # rows as Python objects take several times the memory
     parts = [e["u"].to_numpy(), e["v"].to_numpy()]
     n = None
     if nodes is not None:
-        n = nodes.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.max(F.lit(1)).alias("one"), *[F.max(F.col(a).cast("double")).alias(f"n{i}") for i, a in enumerate(node_attributes)]).toPandas()
+        n = nodes.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.max(F.lit(1)).alias("one"), *[F.max(F.col(a).cast("double")).alias(f"n{i}") for i, a in enumerate(node_attributes)]).toArrow()
         parts.append(n["id"].to_numpy())
     ids = np.unique(np.concatenate(parts)) if sum(map(len, parts)) else np.empty(0, np.int64)
     u, v = np.searchsorted(ids, e["u"].to_numpy()), np.searchsorted(ids, e["v"].to_numpy())
@@ -99,9 +100,9 @@ def _arrays(graph: DataFrame, attributes: Sequence[str], nodes: DataFrame | None
     node_values = []
     for i in range(len(node_attributes)):
         full = np.full(len(ids), np.nan)
-        full[np.searchsorted(ids, n["id"].to_numpy())] = n[f"n{i}"].to_numpy(float)
+        full[np.searchsorted(ids, n["id"].to_numpy())] = n[f"n{i}"].to_numpy().astype(float)
         node_values.append(full)
-    return _Graph(ids, start, v[order], e["weight"].to_numpy(float)[order], [e[f"e{i}"].to_numpy(float)[order] for i in range(len(attributes))], node_values)
+    return _Graph(ids, start, v[order], e["weight"].to_numpy().astype(float)[order], [e[f"e{i}"].to_numpy().astype(float)[order] for i in range(len(attributes))], node_values)
 
 
 def _search(g: _Graph, origin: int, wanted: set[int], cutoff: float) -> tuple[dict[int, tuple[float, int, int]], dict[int, int]]:
@@ -135,9 +136,16 @@ def _reduce(values: list[float], how: str) -> float:
     return {"sum": math.fsum, "mean": lambda v: math.fsum(v) / len(v), "min": min, "max": max}[how](values)
 
 
-def fits(graph: DataFrame) -> bool:
-    """Whether a collapsed graph is counted to be within the broadcast bound."""
-    return graph.count() <= BROADCAST_EDGES
+def fits(graph: DataFrame, nodes: DataFrame | None = None) -> bool:
+    """Whether a collapsed graph, and the nodes that are sent along, are counted to be within the broadcast bound."""
+    return graph.count() <= BROADCAST_EDGES and (nodes is None or nodes.count() <= BROADCAST_EDGES)
+
+
+def _names(edge_aggregations: Sequence[PathAggregation], node_aggregations: Sequence[NodeAggregation]) -> list[str]:
+    names = [a.name for a in (*edge_aggregations, *node_aggregations)]
+    if len(set(names)) < len(names) or {"origin", "dest", "cost", "path"} & set(names):
+        raise ValueError("aggregations need distinct names")
+    return names
 
 
 def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes: DataFrame | None = None, node: str = "node_id", edge_aggregations: Sequence[PathAggregation] = (), node_aggregations: Sequence[NodeAggregation] = (), paths: bool = False) -> DataFrame:
@@ -150,9 +158,7 @@ def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes:
     spark = shipped(requests.sparkSession)
     edge_attrs = list(dict.fromkeys(a.attribute for a in edge_aggregations))
     node_attrs = list(dict.fromkeys(a.attribute for a in node_aggregations))
-    names = [a.name for a in (*edge_aggregations, *node_aggregations)]
-    if len(set(names)) < len(names) or {"origin", "dest", "cost", "path"} & set(names):
-        raise ValueError("aggregations need distinct names")
+    names = _names(edge_aggregations, node_aggregations)
     shared = spark.sparkContext.broadcast(_arrays(graph, edge_attrs, nodes if node_attrs else None, node, node_attrs))
     kind = requests.schema["origin"].dataType
     schema = T.StructType([T.StructField("origin", kind), T.StructField("dest", kind), T.StructField("cost", T.DoubleType()), *[T.StructField(n, T.DoubleType()) for n in names], *([T.StructField("path", T.ArrayType(kind))] if paths else [])])
@@ -222,6 +228,68 @@ def relax(origins: DataFrame, graph: DataFrame, *, cutoff: float = INF, most_rou
     raise DataError("no end of the relaxation")
 
 
+def labels(origins: DataFrame, graph: DataFrame, *, cutoff: float = INF, most_rounds: int = 100_000) -> DataFrame:
+    """``(origin, node, cost, hops, prev)`` of all nodes reachable within the cutoff: ``relax`` with each node's best last step
+    (null at the origin), chosen as ``search`` chooses it."""
+    best = settled(origins.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(graph.schema["u"].dataType).alias("prev")).alias("best")).distinct())
+    frontier = best.select("origin", "node", "best.cost", "best.hops")
+    for _ in range(most_rounds):
+        steps = frontier.join(graph.select(F.col("u").alias("node"), "v", "weight"), "node")
+        steps = steps.select("origin", F.col("v").alias("node"), F.struct((F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev")).alias("new"))
+        steps = steps.filter(F.col("new.cost") <= cutoff).groupBy("origin", "node").agg(F.min("new").alias("new"))
+        met = settled(best.join(steps, ["origin", "node"], "full"))
+        better = F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best")))
+        best = met.select("origin", "node", F.when(better, F.col("new")).otherwise(F.col("best")).alias("best"))
+        # another last step at the same cost and hops changes nothing further on
+        further = F.col("best").isNull() | (F.col("new.cost") != F.col("best.cost")) | (F.col("new.hops") != F.col("best.hops"))
+        frontier = met.filter(better & further).select("origin", "node", "new.cost", "new.hops")
+        if frontier.isEmpty():
+            return best.select("origin", "node", "best.cost", "best.hops", "best.prev")
+    raise DataError("no end of the relaxation")
+
+
+def _traced(asked: DataFrame, reached: DataFrame) -> DataFrame:
+    """``(origin, dest, path)`` of the reached requests with two ends, back from the destination, a step a round; every
+    round writes its steps once."""
+    spark, folder, i = asked.sparkSession, f"{shared_folder(asked.sparkSession)}/odolith-{uuid.uuid4().hex}", 0
+    at = asked.filter(F.col("origin") != F.col("dest")).withColumn("node", F.col("dest"))
+    while True:
+        step = at.join(reached, ["origin", "node"]).filter("hops > 0").select("origin", "dest", "node", "hops", "prev")
+        step.write.parquet(f"{folder}/round={i}")
+        step = spark.read.schema(step.schema).parquet(f"{folder}/round={i}")
+        if step.isEmpty():
+            break
+        at, i = step.select("origin", "dest", F.col("prev").alias("node")), i + 1
+    every = spark.read.schema(step.schema).parquet(folder)
+    stops = F.transform(F.sort_array(F.collect_list(F.struct("hops", "node"))), lambda s: s["node"])
+    return every.groupBy("origin", "dest").agg(stops.alias("stops")).select("origin", "dest", F.concat(F.array("origin"), "stops").alias("path"))
+
+
+def _relaxed(requests: DataFrame, graph: DataFrame, *, cutoff: float, nodes: DataFrame | None, node: str, edge_aggregations: Sequence[PathAggregation], node_aggregations: Sequence[NodeAggregation], paths: bool) -> DataFrame:
+    """What ``search`` gives, by relaxation, tracing and joins."""
+    names = _names(edge_aggregations, node_aggregations)
+    asked = settled(requests.filter("origin is not null and dest is not null").select("origin", "dest").distinct())
+    reached = settled(labels(asked.select("origin").distinct(), graph, cutoff=cutoff))
+    own = F.col("origin") == F.col("dest")
+    cost = F.when(own, 0.0).otherwise(F.coalesce("cost", F.lit(INF))).alias("cost")
+    path = F.when(own, F.array("origin")).otherwise(F.coalesce("path", F.array().cast(T.ArrayType(asked.schema["origin"].dataType)))).alias("path")
+    found = asked.join(reached.select("origin", F.col("node").alias("dest"), "cost"), ["origin", "dest"], "left").join(_traced(asked, reached), ["origin", "dest"], "left")
+    found = settled(found.select(F.struct("origin", "dest").alias("id"), cost, path))
+    out = found.select("id", "cost", *(["path"] if paths else []))
+    if names:
+        plain = [replace(a, name=f"__f{i}") for i, a in enumerate((*edge_aggregations, *node_aggregations))]
+        at_edge, at_node = plain[: len(edge_aggregations)], plain[len(edge_aggregations) :]
+        table = nodes.filter(F.col(node).isNotNull()).groupBy(node).agg(*[F.max(F.col(a).cast("double")).alias(a) for a in dict.fromkeys(a.attribute for a in at_node)]) if at_node else None
+        out = out.join(along_paths(found, "id", graph, nodes=table, node=node, edge_aggregations=at_edge, node_aggregations=at_node).drop("cost"), "id")
+    return out.select("id.origin", "id.dest", "cost", *[F.col(f"__f{i}").alias(n) for i, n in enumerate(names)], *(["path"] if paths else []))
+
+
+def routes(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes: DataFrame | None = None, node: str = "node_id", edge_aggregations: Sequence[PathAggregation] = (), node_aggregations: Sequence[NodeAggregation] = (), paths: bool = False) -> DataFrame:
+    """``search`` by whichever engine the sizes of the graph, and of the nodes where they are asked for, allow."""
+    engine = search if fits(graph, nodes if node_aggregations else None) else _relaxed
+    return engine(requests, graph, cutoff=cutoff, nodes=nodes, node=node, edge_aggregations=edge_aggregations, node_aggregations=node_aggregations, paths=paths)
+
+
 def distances_from(graph: DataFrame, origin, *, cutoff: float = INF) -> DataFrame:
     """``(node, cost)`` of the nodes reachable from one origin."""
     kind = graph.schema["u"].dataType
@@ -262,7 +330,7 @@ def tiered_aggregate(pairs: DataFrame, graph: DataFrame, *, nodes: DataFrame | N
     if not edge_aggregations and not node_aggregations:
         raise ValueError("no aggregation given")
     ask = pairs.filter(F.col(mask)) if mask else pairs
-    found = search(ask.select("origin", "dest").distinct(), graph, cutoff=cutoff, nodes=nodes, node=node, edge_aggregations=edge_aggregations, node_aggregations=node_aggregations)
+    found = routes(ask.select("origin", "dest").distinct(), graph, cutoff=cutoff, nodes=nodes, node=node, edge_aggregations=edge_aggregations, node_aggregations=node_aggregations)
     names = [a.name for a in (*edge_aggregations, *node_aggregations)]
     out = pairs.join(found, ["origin", "dest"], "left")
     on = F.coalesce(F.col(mask), F.lit(False)) if mask else F.lit(True)
@@ -308,7 +376,7 @@ def trip_metrics(trips: DataFrame, graph: DataFrame, *, length: str = "length",
         raise ValueError("a feature has a reserved name")
     zero = lambda c: F.coalesce(known(F.col(c).cast("double")), F.lit(0.0))
     g = graph.select("u", "v", "weight", zero(length).alias("length"), *[(zero(a) * (zero(length) if how == "length_weighted" else F.lit(1.0))).alias(a) for a, how in features.items()])
-    found = search(trips.select("origin", "dest").distinct(), g, cutoff=cutoff, edge_aggregations=[PathAggregation("distance", "length"), *[PathAggregation(a, a) for a in features]])
+    found = routes(trips.select("origin", "dest").distinct(), g, cutoff=cutoff, edge_aggregations=[PathAggregation("distance", "length"), *[PathAggregation(a, a) for a in features]])
     out = trips.select("trip_id", "origin", "dest").join(found.filter(finite("cost")), ["origin", "dest"])
     named = [(F.when(F.col("distance") > 0, F.col(a) / F.col("distance")).otherwise(0.0) if how == "length_weighted" else F.col(a)).alias(a) for a, how in features.items()]
     return out.select("trip_id", "cost", "distance", *named)
@@ -318,7 +386,7 @@ def betweenness(sample: DataFrame, graph: DataFrame, *, cutoff: float = INF) ->
     """``(u, v, flow)``: how often the shortest paths of a sample ``(origin, dest[, times])`` use each edge, repeats counted."""
     times = F.sum("times") if "times" in sample.columns else F.count(F.lit(1))
     asked = sample.groupBy("origin", "dest").agg(times.cast("double").alias("times"))
-    found = search(asked.select("origin", "dest"), graph, cutoff=cutoff, paths=True).join(asked, ["origin", "dest"])
+    found = routes(asked.select("origin", "dest"), graph, cutoff=cutoff, paths=True).join(asked, ["origin", "dest"])
     step = found.select(F.monotonically_increasing_id().alias("id"), "path", "times")
     p = F.col("path")
     pairs = F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda v, i: F.struct(F.get(p, i).alias("u"), v.alias("v")))

@@ -35,11 +35,33 @@ def first_whole(entry: Column | str, low: int, high: int) -> Column:
     return F.when((number == F.floor(number)) & number.between(low, high), number.cast("int"))
 
 
-# Importance of street classes, higher is more important; ramps rank with their class.
+# Importance of street classes, higher is more important; -1 is no street for motor vehicles.
 HIGHWAY_RANKS = {
-    "motorway": 7, "motorway_link": 7, "trunk": 6, "trunk_link": 6, "primary": 5, "primary_link": 5,
-    "secondary": 4, "secondary_link": 4, "tertiary": 3, "tertiary_link": 3, "unclassified": 2, "residential": 1, "living_street": 0,
-}
+    "motorway": 7,
+    "motorway_link": 7,
+    "trunk": 6,
+    "trunk_link": 6,
+    "primary": 5,
+    "primary_link": 5,
+    "secondary": 4,
+    "secondary_link": 4,
+    "tertiary": 3,
+    "tertiary_link": 3,
+    "residential": 2,
+    "road": 2,
+    "living_street": 1,
+    "pedestrian": 1,
+    "unclassified": -1,
+    "service": -1,
+    "busway": -1,
+    "cycleway": -1,
+    "footway": -1,
+    "path": -1,
+    "track": -1,
+    "steps": -1,
+    "crossing": -1,
+    "disused": -1,
+}
 
 
 def highway_rank(tag: Column | str, default: int = -1) -> Column:

@@ -35,7 +35,7 @@ def durations(base: Column, alpha: float, factors: dict[str, float], sums: dict[
 
 def usable_legs(legs: DataFrame, nodes: DataFrame, *, min_line: float = 0.0, max_line: float = INF, max_ratio: float = INF, max_snap: float = INF, node: str = "node_id") -> DataFrame:
     """Legs with ``origin`` and ``dest`` nodes: those whose straight distance is in range, whose measured one is less than
-    ``max_ratio`` times it, and whose ends both snap. Repeated legs count once."""
+    ``max_ratio`` times it, and whose ends both snap. Of a trip with several rows the least counts."""
     require(legs, "trip_id", "orig_x", "orig_y", "dest_x", "dest_y", "time_measured")
     line = F.sqrt(F.pow(F.col("orig_x") - F.col("dest_x"), 2) + F.pow(F.col("orig_y") - F.col("dest_y"), 2))
     rows = legs.filter(finite("orig_x") & finite("orig_y") & finite("dest_x") & finite("dest_y") & finite("time_measured") & F.col("trip_id").isNotNull()).withColumn("line", line)
@@ -43,7 +43,8 @@ def usable_legs(legs: DataFrame, nodes: DataFrame, *, min_line: float = 0.0, max
     if max_ratio < INF and "dist_measured" in legs.columns:
         ok = ok & finite("dist_measured") & (F.col("dist_measured") < max_ratio * F.col("line"))
     keep = ["trip_id", "orig_x", "orig_y", "dest_x", "dest_y", "time_measured", "line"]
-    rows = settled(rows.filter(ok).select(*keep).dropDuplicates(["trip_id"]))
+    rows = rows.filter(ok).groupBy("trip_id").agg(F.min(F.struct(*keep[1:])).alias("r"))
+    rows = settled(rows.select("trip_id", "r.*"))
     pts = settled(nodes.filter(finite("x") & finite("y")).select(F.col(node).alias("id"), "x", "y").distinct())
     for end, name in (("orig", "origin"), ("dest", "dest")):
         places = rows.select(F.col("trip_id").alias("id"), F.col(f"{end}_x").alias("x"), F.col(f"{end}_y").alias("y"))

@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..schema import INF, DataError, finite
-from ..session import settled
-from .proximity import edges_of, gridded, inside, points, regions, within_distance
-from .skew import hot_keys
+from ..schema import INF, DataError, finite, union_all
+from ..session import release, settled
+from .proximity import crowded, edges_of, gridded, inside, points, regions, within_distance
+
+
+#: Halvings of the whole extent that are tried for the spacing of points.
+LEVELS = 32
+
+
+def spacing(df: DataFrame) -> tuple[float, float]:
+    """A typical distance between neighbouring points and the width of them all: the width of the coarsest grid, of those
+    that halve the extent, on which at least half of the distinct points have a cell of their own.
+
+    Empty space does not count, so neither a far outlier nor crowded places change it much. One pass, one row.
+    """
+    box = df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.approx_count_distinct(F.struct("x", "y"))).first()
+    if box[0] is None:
+        return 1.0, 0.0
+    wide = max(box[1] - box[0], box[3] - box[2], 1.0)
+    cell = lambda level: F.struct(F.floor((F.col("x") - box[0]) / (wide / 2**level)), F.floor((F.col("y") - box[2]) / (wide / 2**level)))
+    used = df.agg(*[F.approx_count_distinct(cell(i)).alias(f"l{i}") for i in range(0, LEVELS, 2)]).first()
+    fit = next((i for i in range(0, LEVELS, 2) if 2 * used[f"l{i}"] >= box[4]), LEVELS)
+    return wide / 2**fit, wide
 
 
 def nearest(left: DataFrame, right: DataFrame, *, max_distance: float = INF, first_radius: float | None = None) -> DataFrame:
@@ -17,19 +36,18 @@ def nearest(left: DataFrame, right: DataFrame, *, max_distance: float = INF, fir
     ``max_distance`` or if there is no right point. Both sides have unique ``id`` and ``x``, ``y``.
 
     Rings of growing radius: points that find a neighbour within the radius are done (none nearer can be missed), the rest
-    go on with four times the radius. The first radius comes from the right side's density, so a few rounds do.
+    go on with four times the radius. The first radius is the typical spacing of the right side.
     """
     todo = settled(left.select("id", "x", "y"))
     base = settled(right.select("id", "x", "y"))
-    box = base.agg(F.count(F.lit(1)).alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     reach = todo.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    box = base.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     done: list[DataFrame] = []
     kind = right.schema["id"].dataType
-    if box[0] and reach[0] is not None:
-        wide = max(max(box[2], reach[1]) - min(box[1], reach[0]), max(box[4], reach[3]) - min(box[3], reach[2]), 1.0)
-        radius = first_radius or max(wide / max(1.0, box[0]) ** 0.5, wide / 1e6)
-        last = min(max_distance, 2.0 * wide)
-        while True:
+    if box[0] is not None and reach[0] is not None:
+        wide = max(max(box[1], reach[1]) - min(box[0], reach[0]), max(box[3], reach[3]) - min(box[2], reach[2]), 1.0)
+        radius, last = first_radius or spacing(base)[0], min(max_distance, 2.0 * wide)
+        while last > 0:
             radius = min(radius, last)
             hits = within_distance(todo, base, radius)
             best = hits.groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("m"))
@@ -37,17 +55,17 @@ def nearest(left: DataFrame, right: DataFrame, *, max_distance: float = INF, fir
             done.append(best)
             if radius >= last:
                 break
-            todo = settled(todo.join(best.select(F.col("left_id").alias("id")), "id", "left_anti"))
+            rest = settled(todo.join(best.select(F.col("left_id").alias("id")), "id", "left_anti"))
+            release(todo)
+            todo = rest
             if todo.isEmpty():
                 break
             radius *= 4
+    release(todo, base)
     ids = left.select(F.col("id").alias("left_id"))
     if not done:
         return ids.select("left_id", F.lit(None).cast(kind).alias("right_id"), F.lit(None).cast("double").alias("distance"))
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
-    return ids.join(found, "left_id", "left")
+    return ids.join(union_all(*done), "left_id", "left")
 
 
 def points_to_regions(pts: DataFrame, polys: DataFrame, *, allow_nearest: bool = True, max_distance: float = INF) -> DataFrame:
@@ -70,69 +88,79 @@ def nearest_boundary(pts: DataFrame, polys: DataFrame, *, max_distance: float =
     return _nearest_segment(pts, edges, max_distance)
 
 
-def _pieces(segs: DataFrame, size: float) -> DataFrame:
-    """Segments with the grid cells their bounding box touches, long ones cut so that no piece spans many cells."""
+def _pieces(segs: DataFrame, size: float, radius: float) -> DataFrame:
+    """Segments with the grid cells that hold a place at most ``radius`` from them, long ones cut so that no piece spans many
+    cells. Neighbouring pieces may name a cell twice."""
     length = geo.distance(F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2"))
     n = F.greatest(F.lit(1), F.ceil(length / size).cast("int"))
     cut = segs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     at = lambda c, t: F.col(f"s.{c}1") + (F.col(f"s.{c}2") - F.col(f"s.{c}1")) * t
-    t0, t1 = F.col("i") / F.col("n"), (F.col("i") + 1) / F.col("n")
-    span = lambda c: F.sequence(F.floor(F.least(at(c, t0), at(c, t1)) / size), F.floor(F.greatest(at(c, t0), at(c, t1)) / size))
+    t0, t1, reach = F.col("i") / F.col("n"), (F.col("i") + 1) / F.col("n"), radius * 1.000001
+    span = lambda c: F.sequence(F.floor((F.least(at(c, t0), at(c, t1)) - reach) / size), F.floor((F.greatest(at(c, t0), at(c, t1)) + reach) / size))
     return cut.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y"))).drop("n", "i")
 
 
 def near_segments(pts: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
-    """Points joined to the segments at most ``radius`` away, once each: point columns prefixed ``left_``, the segment's
+    """Points joined to the segments at most ``radius`` away, at least once each: point columns prefixed ``left_``, the segment's
     columns, ``distance``. ``segs`` has ``right_id`` and ``s`` (``x1, y1, x2, y2``) and further columns of its own."""
-    a = gridded(pts.select(*[F.col(c).alias(f"left_{c}") for c in pts.columns], "x", "y"), radius).drop("x", "y")
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = _pieces(segs, radius).withColumn("step", F.explode(steps)).withColumn("gx", F.col("gx") + F.col("step.i")).withColumn("gy", F.col("gy") + F.col("step.j")).drop("step").distinct()
-    hot = F.broadcast(hot_keys(a.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("n")), ["gx", "gy"], "n", 20_000))
-    a = a.join(hot, ["gx", "gy"], "left").withColumn("salt", F.when(F.col("splits").isNull(), 0).otherwise(F.pmod(F.xxhash64("left_id"), F.col("splits")).cast("int"))).drop("splits")
-    b = b.join(hot, ["gx", "gy"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1))).drop("splits")
+    size = 2.0 * radius
+    a = gridded(pts.select(*[F.col(c).alias(f"left_{c}") for c in pts.columns], "x", "y"), size).drop("x", "y")
+    a, b = crowded(a, _pieces(segs, size, radius), ["gx", "gy"], "left_id", "right_id")
     d = geo.segment_distance(F.col("left_x"), F.col("left_y"), F.col("s"))
     return a.join(b, ["gx", "gy", "salt"]).withColumn("distance", d).filter(d <= radius).drop("gx", "gy", "salt")
 
 
-def _nearest_segment(pts: DataFrame, segs: DataFrame, max_distance: float) -> DataFrame:
-    todo, segs = settled(pts.select("id", "x", "y")), settled(segs)
-    box = segs.agg(F.count(F.lit(1)), F.min(F.least("s.x1", "s.x2")), F.max(F.greatest("s.x1", "s.x2")), F.min(F.least("s.y1", "s.y2")), F.max(F.greatest("s.y1", "s.y2")), F.avg(geo.distance(F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2")))).first()
-    reach = todo.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    best = None
-    if box[0] and reach[0] is not None:
-        wide = max(max(box[2], reach[1]) - min(box[1], reach[0]), max(box[4], reach[3]) - min(box[3], reach[2]), 1.0)
-        radius, last = max(box[5], wide / 1e4, 1.0), min(max_distance, 2.0 * wide)
-        while True:
+def _rings_out(segs: DataFrame, pts: DataFrame, of: str, other: str, max_distance: float) -> DataFrame | None:
+    """``(one, other, distance)``: of every ``of`` (``left_id``: points, ``right_id``: the segments' regions) the nearest on the other
+    side, in rings of growing radius; those that found one within the radius are done. None if a side is empty."""
+    segs, todo = settled(segs), settled(pts)
+    ends = segs.select(F.col("s.x1").alias("x"), F.col("s.y1").alias("y")).unionByName(segs.select(F.col("s.x2").alias("x"), F.col("s.y2").alias("y")))
+    box = ends.unionByName(todo.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    best: list[DataFrame] = []
+    if not segs.isEmpty() and not todo.isEmpty():
+        wide = max(box[1] - box[0], box[3] - box[2], 1.0)
+        radius, last = spacing(todo if of == "right_id" else ends)[0], min(max_distance, 2.0 * wide)
+        while last > 0:
             radius = min(radius, last)
-            hit = near_segments(todo, segs, radius).groupBy("left_id").agg(F.min(F.struct("distance", "right_id")).alias("m"))
-            hit = settled(hit.select("left_id", "m.right_id", "m.distance"))
-            best = hit if best is None else best.unionByName(hit)
+            hit = near_segments(todo, segs, radius).groupBy(F.col(of).alias("one")).agg(F.min(F.struct("distance", F.col(other).alias("other"))).alias("m"))
+            hit = settled(hit.select("one", "m.other", "m.distance"))
+            best.append(hit)
             if radius >= last:
                 break
-            todo = settled(todo.join(hit.select(F.col("left_id").alias("id")), "id", "left_anti"))
-            if todo.isEmpty():
+            if of == "left_id":
+                rest = settled(todo.join(hit.select(F.col("one").alias("id")), "id", "left_anti"))
+                release(todo)
+                todo = rest
+            else:
+                rest = settled(segs.join(hit.select(F.col("one").alias("right_id")), "right_id", "left_anti"))
+                release(segs)
+                segs = rest
+            if rest.isEmpty():
                 break
             radius *= 4
-    return best if best is not None else todo.select(F.col("id").alias("left_id"), F.lit(None).cast(segs.schema["right_id"].dataType).alias("right_id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    release(segs, todo)
+    return union_all(*best) if best else None
+
+
+def _nearest_segment(pts: DataFrame, segs: DataFrame, max_distance: float) -> DataFrame:
+    best = _rings_out(segs, pts.select("id", "x", "y"), "left_id", "right_id", max_distance)
+    if best is None:
+        best = pts.filter("false").select(F.col("id").alias("one"), F.lit(None).cast(segs.schema["right_id"].dataType).alias("other"), F.lit(None).cast("double").alias("distance"))
+    return best.select(F.col("one").alias("left_id"), F.col("other").alias("right_id"), "distance")
 
 
 def regions_to_points(polys: DataFrame, pts: DataFrame, *, allow_nearest: bool = True, max_distance: float = INF) -> DataFrame:
     """``(left_id, right_id, distance)``: for each region the point inside it, the smallest id of several, with a null
-    distance; for regions without one the point nearest to their boundary up to ``max_distance``."""
+    distance; for regions without one the point nearest to their boundary up to ``max_distance``, the smaller id of equals."""
     hit = inside(pts.select("id", "x", "y"), polys).groupBy(F.col("right_id").alias("region")).agg(F.min("left_id").alias("point"))
     hit = settled(hit.select(F.col("region").alias("left_id"), F.col("point").alias("right_id"), F.lit(None).cast("double").alias("distance")))
     ids = polys.select(F.col("id").alias("left_id")).distinct()
     if allow_nearest:
         rest = edges_of(polys.join(hit.select(F.col("left_id").alias("id")), "id", "left_anti"))
-        # nearest in the other direction: sample the boundary's vertices for a bound, then verify against segments
-        segs = rest.select(F.col("id").alias("right_id"), F.explode("edges").alias("s"))
-        start = rest.select(F.col("id"), F.col("edges")[0]["x1"].alias("x"), F.col("edges")[0]["y1"].alias("y"))
-        bound = nearest(start, pts.select("id", "x", "y")).select(F.col("left_id").alias("region"), F.col("distance").alias("bound"))
-        most = bound.agg(F.max("bound")).first()[0]
-        if most is not None:
-            met = near_segments(pts.select("id", "x", "y"), segs, max(min(most, max_distance), 1e-6))
-            best = met.groupBy(F.col("right_id").alias("region")).agg(F.min(F.struct("distance", "left_id")).alias("m"))
-            hit = hit.unionByName(best.select(F.col("region").alias("left_id"), F.col("m.left_id").alias("right_id"), F.col("m.distance").alias("distance")))
+        segs = rest.select(F.col("id").alias("right_id"), F.explode("edges").alias("s")).filter(F.col("s.x1").isNotNull())
+        near = _rings_out(segs, pts.select("id", "x", "y"), "right_id", "left_id", max_distance)
+        if near is not None:
+            hit = hit.unionByName(near.select(F.col("one").alias("left_id"), F.col("other").alias("right_id"), "distance"))
     return ids.join(hit, "left_id", "left")
 
 
@@ -153,22 +181,24 @@ def points_to_lines(pts: DataFrame, line: DataFrame, radius: float, *, eligible:
     """``(left_id, right_id, distance, dist_along)``: the nearest line within ``radius`` that is eligible and acceptable, the
     smaller id of equals; null without one.
 
-    ``eligible`` is a predicate on the line's columns (prefixed ``line_``) and the point's (prefixed ``left_``), ``accept`` may
+    Lines have unique ids. ``eligible`` is a predicate on the line's columns (prefixed ``line_``) and the point's (prefixed ``left_``), ``accept`` may
     also use ``distance``, ``dist_along`` and ``line_path``. A candidate that is not accepted gives way to the next nearest.
     """
     own = [c for c in line.columns if c not in ("id", "path")]
-    segs = line.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"line_{c}") for c in own], F.col("path").alias("line_path"), F.posexplode(geo.segments(F.col("path"))).alias("seq", "s"))
+    segs = line.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"line_{c}") for c in own], F.posexplode(geo.segments(F.col("path"))).alias("seq", "s"))
+    # the length before each segment, so that no candidate carries the whole line
+    order = Window.partitionBy("right_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    long = geo.distance(F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2"))
+    segs = segs.withColumn("before", F.coalesce(F.sum(long).over(order), F.lit(0.0)))
     met = near_segments(pts, segs, radius)
     if eligible is not None:
         met = met.filter(eligible)
-    before = F.aggregate(F.slice(geo.segments(F.col("line_path")), F.lit(1), F.col("seq")), F.lit(0.0), lambda a, s: a + geo.distance(s["x1"], s["y1"], s["x2"], s["y2"]))
-    here = geo.along_segment(F.col("left_x"), F.col("left_y"), F.col("s")) * geo.distance(F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2"))
-    one = met.withColumn("dist_along", before + here)
-    first = [F.first(c).alias(c) for c in one.columns if c.startswith(("left_", "line_")) and c != "left_id"]
+    one = met.withColumn("dist_along", F.col("before") + geo.along_segment(F.col("left_x"), F.col("left_y"), F.col("s")) * long)
+    first = [F.first(c).alias(c) for c in one.columns if c.startswith(("left_", "line_")) and c != "left_id"] if accept is not None else []
     per_line = one.groupBy("left_id", "right_id").agg(F.min(F.struct("distance", "dist_along")).alias("m"), *first)
     per_line = per_line.withColumn("distance", F.col("m.distance")).withColumn("dist_along", F.col("m.dist_along"))
     if accept is not None:
-        per_line = per_line.filter(accept)
+        per_line = per_line.join(line.select(F.col("id").alias("right_id"), F.col("path").alias("line_path")), "right_id").filter(accept)
     best = per_line.groupBy("left_id").agg(F.min(F.struct("distance", "right_id", "dist_along")).alias("m"))
     return pts.select(F.col("id").alias("left_id")).join(best.select("left_id", "m.right_id", "m.distance", "m.dist_along"), "left_id", "left")
 

@@ -108,8 +108,8 @@ def dest_values(pairs: DataFrame, columns: Sequence[str], cells: DataFrame, zone
 
 
 def dest_values_geo(pairs: DataFrame, columns: Sequence[str], cells: DataFrame, zones: DataFrame | None = None, *, cell: str = "cell_id", zone: str = "zone_id") -> DataFrame:
-    """Values of each pair's destination unit in geo space, as they are."""
-    unit = lambda df, k, key: df.select(F.lit(k).alias("kind"), F.col(key).alias("dest"), *columns).dropDuplicates(["dest"])
+    """Values of each pair's destination unit in geo space, as they are; of a unit with several rows those of the least one."""
+    unit = lambda df, k, key: df.groupBy(F.lit(k).alias("kind"), F.col(key).alias("dest")).agg(F.min(F.struct(*columns)).alias("v")).select("kind", "dest", *[F.col(f"v.{c}").alias(c) for c in columns])
     kinds = [unit(cells, "cell", cell), *([unit(zones, "zone", zone)] if zones is not None else [])]
     kind = F.when(F.col("tier") == CELLS, "cell").otherwise("zone")
     return pairs.withColumn("kind", kind).join(union_all(*kinds), ["kind", "dest"], "left").select(*pairs.columns, *columns)
@@ -183,8 +183,9 @@ def across_modes(modes: DataFrame, how: str | Callable[[dict[str, Column]], Colu
 
 
 def check_same_tiers(modes: DataFrame, mode: str = "mode") -> None:
-    """DataError unless all modes have the same tiers (a few rows reach the driver)."""
-    sets = {tuple(sorted(r.tiers)) for r in modes.groupBy(mode).agg(F.collect_set("tier").alias("tiers")).limit(1_000).collect()}
+    """DataError unless all modes have the same tiers. Sets of tiers are reduced before they reach the driver: the first two
+    different ones tell."""
+    sets = {tuple(r.tiers) for r in modes.groupBy(mode).agg(F.sort_array(F.collect_set("tier")).alias("tiers")).select("tiers").distinct().orderBy("tiers").take(2)}
     if len(sets) > 1:
         raise DataError(f"modes differ in their tiers: {sorted(sets)}")
     unknown = {t for s in sets for t in s} - set(TIERS)

@@ -83,7 +83,7 @@ def add_geo(od: DataFrame, *, origin_cell: DataFrame | None = None, origin_zone:
 def add_origin_cell(od: DataFrame, cells: DataFrame, overhead: str, *, cell: str = "cell_id", zone: str = "zone_id", how: Callable[[Column], Column] = F.avg) -> DataFrame:
     """Costs in geo space plus the origin cell's overhead; at the far tier that of its zone, by default the cells' mean."""
     value = known(F.col(overhead).cast("double"))
-    by_cell = cells.select(cell, value.alias("overhead")).dropDuplicates([cell])
+    by_cell = cells.groupBy(cell).agg(F.min(value).alias("overhead"))
     by_zone = cells.filter(F.col(zone).isNotNull()).groupBy(zone).agg(how(value).alias("overhead"))
     return add_geo(od, origin_cell=by_cell, origin_zone=by_zone)
 

@@ -1,8 +1,7 @@
 """Points near other points or inside regions, found through a hash grid.
 
 Every join here is an equi-join on a grid cell followed by the exact test. A grid cell that holds a large share of all
-points is split: one side's rows are spread over ``splits`` and the other side's rows of that cell are repeated, so no
-task gets the whole crowd.
+points is split on both sides, and the parts meet each other in tasks of their own, so no task gets the whole crowd.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..schema import finite
-from .skew import hot_keys
+from .skew import hot_slots, slot
 
 #: Points of one grid cell that one task compares before the cell is split.
 POINTS_PER_SPLIT = 20_000
@@ -44,13 +43,21 @@ def spread(df: DataFrame, size: float, radius: float) -> DataFrame:
     return df.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
 
 
-def _split(left: DataFrame, right: DataFrame, keys: list[str], left_id: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a ``salt``: the left one's crowded grid cells spread, the right one's rows there repeated."""
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(counts, keys, "n", POINTS_PER_SPLIT))
-    a = left.join(hot, keys, "left").withColumn("salt", F.when(F.col("splits").isNull(), 0).otherwise(F.pmod(F.xxhash64(left_id), F.col("splits")).cast("int"))).drop("splits")
-    b = right.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("splits"), F.lit(1)) - 1))).drop("splits")
-    return a, b
+def crowded(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``: the rows of a crowded grid cell are cut into parts on either side, and every part of the one
+    side meets every part of the other in a task of its own, so no task compares more than POINTS_PER_SPLIT with as many.
+
+    Crowded cells are told by counts, per slot of the cell's hash, so their table is bounded and covers all of them.
+    """
+    n = lambda df: hot_slots(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n", POINTS_PER_SPLIT)
+    one = F.lit(1)
+    hot = n(left).select("slot", F.col("splits").alias("sl"), one.alias("sr")).unionByName(n(right).select("slot", one.alias("sl"), F.col("splits").alias("sr")))
+    hot = F.broadcast(hot.groupBy("slot").agg(F.max("sl").alias("sl"), F.max("sr").alias("sr")))
+    part = lambda ident, k: F.when(F.col("sl").isNull(), 0).otherwise(F.pmod(F.xxhash64(ident), F.col(k)).cast("int"))
+    every = lambda k: F.sequence(F.lit(0), F.coalesce(F.col(k), F.lit(1)) - 1)
+    a = left.withColumn("slot", slot(left, keys)).join(hot, "slot", "left").withColumn("__l", part(left_id, "sl")).withColumn("salt", F.explode(F.transform(every("sr"), lambda r: r * F.coalesce("sl", F.lit(1)) + F.col("__l"))))
+    b = right.withColumn("slot", slot(right, keys)).join(hot, "slot", "left").withColumn("__r", part(right_id, "sr")).withColumn("salt", F.explode(F.transform(every("sl"), lambda c: F.col("__r") * F.coalesce("sl", F.lit(1)) + c)))
+    return a.drop("slot", "sl", "sr", "__l"), b.drop("slot", "sl", "sr", "__r")
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float, *, strict: bool = False, exact: Callable[..., Column] = geo.distance) -> DataFrame:
@@ -66,7 +73,7 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, *, strict:
     size = CELL * radius
     a = gridded(left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns], "x", "y"), size).drop("x", "y")
     b = spread(right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns], "x", "y"), size, radius).drop("x", "y")
-    a, b = _split(a, b, ["gx", "gy"], "left_id")
+    a, b = crowded(a, b, ["gx", "gy"], "left_id", "right_id")
     d = exact(F.col("left_x"), F.col("left_y"), F.col("right_x"), F.col("right_y"))
     near = d < radius if strict else d <= radius
     return a.join(b, ["gx", "gy", "salt"]).withColumn("distance", d).filter(near).drop("gx", "gy", "salt")
@@ -106,7 +113,7 @@ def inside(pts: DataFrame, polys: DataFrame, smallest: float = 64.0) -> DataFram
     b = b.withColumn("gx", F.explode(span("box.x0", "box.x1"))).withColumn("gy", F.explode(span("box.y0", "box.y1")))
     a = pts.withColumnRenamed("id", "left_id").crossJoin(levels)
     a = a.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
-    a, b = _split(a, b, ["level", "gx", "gy"], "left_id")
+    a, b = crowded(a, b, ["level", "gx", "gy"], "left_id", "right_id")
     maybe = a.join(b, ["level", "gx", "gy", "salt"]).filter(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
     maybe = maybe.drop("level", "gx", "gy", "salt", "box")
     # one shuffle by id serves both the removal of repeated rows and the join; a region full of points is split by AQE

@@ -24,7 +24,7 @@ class Grid:
 
 def _valid(pixels: DataFrame, grid: Grid) -> DataFrame:
     ok = finite("value") if grid.nodata is None else finite("value") & (F.col("value") != grid.nodata)
-    return pixels.filter(ok).select("row", "col", F.col("value").cast("double").alias("value")).dropDuplicates(["row", "col"])
+    return pixels.filter(ok).groupBy("row", "col").agg(F.min(F.col("value").cast("double")).alias("value"))
 
 
 def sample(points: DataFrame, pixels: DataFrame, grid: Grid, *, method: str = "bilinear", name: str = "value") -> DataFrame:

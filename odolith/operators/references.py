@@ -1,8 +1,8 @@
 """References to records that were not there: missing, already deleted, or not yet delivered.
 
-Parent keys become integer codes, sorted and compressed into runs of consecutive codes. A reference is matched as of
-its code to the run that starts at or before it; a code beyond that run's end has no parent. A run carries the life
-spans of its members by offset, so the same match tells whether the parent was alive at the reference's time.
+Parent keys become integer codes, sorted and compressed into runs of consecutive codes: two numbers a run. A reference is
+matched as of its code to the run that starts at or before it; a code beyond that run's end has no parent. Only
+references inside a run look up their parent's life, to tell those deleted or late at the time of the reference.
 """
 
 from __future__ import annotations
@@ -12,40 +12,44 @@ from pyspark.sql import functions as F
 
 from .skew import lookup
 
-#: Codes per block. Runs end at block borders, so blocks are matched independently and a run has bounded length.
-BLOCK = 4_096
+#: Codes per block. Runs end at block borders, so blocks are matched independently of each other.
+BLOCK = 1 << 16
 
 
 def key_code(key: Column, kind: str) -> tuple[Column, Column]:
-    """``(family, code)`` of a key. Family 0: an integer, or text that is exactly a hexadecimal number of at most 15 digits
-    without leading zero; equal codes are then equal keys. Family 1: any other text, coded by a hash and compared in full."""
-    if kind != "string":
-        return F.lit(0), key.cast("long")
-    plain = F.length(key).between(1, 15) & key.rlike("^[1-9a-f][0-9a-f]*$")
-    return F.when(plain, 0).otherwise(1), F.when(plain, F.conv(key, 16, 10).cast("long")).otherwise(F.xxhash64(key))
+    """``(family, code)`` of a key: keys of one family with consecutive codes are neighbours.
 
+    Whole numbers are one family. Text of up to 15 hexadecimal digits is numbered by value in a family per length. Other
+    text that ends in up to 15 decimal digits is numbered by these, in a family per text before them and number of
+    digits. Text of neither kind is coded by a hash. Within the families other than that of hashed text equal codes are
+    equal keys; among hashed ones the look-up of the parent's life compares the whole text.
+    """
+    if kind != "string":
+        return F.lit(""), key.cast("long")
+    hexadecimal = key.rlike("^[0-9a-f]{1,15}$")
+    digits = F.regexp_extract(key, r"([0-9]{1,15})$", 1)
+    before = F.substring(key, F.lit(1), (F.length(key) - F.length(digits)).cast("int"))
+    family = F.when(hexadecimal, F.concat(F.lit("x"), F.length(key).cast("string"))).when(digits != "", F.concat(F.lit("d"), F.length(digits).cast("string"), F.lit(":"), before)).otherwise("h")
+    code = F.when(hexadecimal, F.conv(key, 16, 10).cast("long")).when(digits != "", digits.cast("long")).otherwise(F.xxhash64(key))
+    return family, code
 
-def parent_runs(parent: DataFrame, key: str, loaded: str, removed: str) -> DataFrame:
-    """``(family, block, start, end, members)`` with ``members`` by offset from ``start``.
 
-    Repeated rows count once. A key with several different rows lives from the first ``loaded`` to the last ``removed``,
-    or without end if any row has none. Null keys are left out.
-    """
-    kind = dict(parent.dtypes)[key]
+def lives(parent: DataFrame, key: str, loaded: str, removed: str) -> DataFrame:
+    """``(key, loaded, removed)``, each key once: repeated rows count once, a key with several different rows lives from the
+    first ``loaded`` to the last ``removed``, or without end if any row has none. Null keys are left out."""
     k = F.col(key)
-    family, code = key_code(k, kind)
     one = parent.filter(k.isNotNull()).select(k.alias("key"), F.col(loaded).alias("loaded"), F.col(removed).alias("removed"))
-    lives = one.groupBy("key").agg(F.min("loaded").alias("loaded"), F.max("removed").alias("last"), F.count_if(F.col("removed").isNull()).alias("open"))
-    lives = lives.select("key", "loaded", F.when(F.col("open") == 0, F.col("last")).alias("removed"))
-    family, code = key_code(F.col("key"), kind)
-    coded = lives.withColumn("family", family).withColumn("code", code).withColumn("block", F.floor(F.col("code") / BLOCK))
-    # codes of family 1 may collide: a code's members are then all its keys, told apart by the key itself
-    member = F.struct(*(["key"] if kind == "string" else []), "loaded", "removed")
-    by_code = coded.groupBy("family", "block", "code").agg(F.collect_list(member).alias("members")) if kind == "string" else coded.select("family", "block", "code", F.array(member).alias("members"))
+    per = one.groupBy("key").agg(F.min("loaded").alias("loaded"), F.max("removed").alias("last"), F.count_if(F.col("removed").isNull()).alias("open"))
+    return per.select("key", "loaded", F.when(F.col("open") == 0, F.col("last")).alias("removed"))
+
+
+def parent_runs(keys: DataFrame) -> DataFrame:
+    """``(family, block, start, end)`` of the distinct non-null keys in the column ``key``."""
+    family, code = key_code(F.col("key"), dict(keys.dtypes)["key"])
+    coded = keys.select(family.alias("family"), code.alias("code")).withColumn("block", F.floor(F.col("code") / BLOCK)).distinct()
     order = Window.partitionBy("family", "block").orderBy("code")
-    island = by_code.withColumn("island", F.when(F.col("family") == 0, F.col("code") - F.row_number().over(order)).otherwise(F.col("code")))
-    runs = island.groupBy("family", "block", "island").agg(F.min("code").alias("start"), F.max("code").alias("end"), F.sort_array(F.collect_list(F.struct("code", "members"))).alias("run"))
-    return runs.select("family", "block", "start", "end", F.transform("run", lambda r: r["members"]).alias("members"))
+    island = coded.withColumn("island", F.col("code") - F.row_number().over(order))
+    return island.groupBy("family", "block", "island").agg(F.min("code").alias("start"), F.max("code").alias("end")).drop("island")
 
 
 def orphans(refs: DataFrame, parent: DataFrame, *, ref: str, at: str, spread: str, key: str, loaded: str = "loaded_at", removed: str = "removed_at") -> DataFrame:
@@ -59,27 +63,22 @@ def orphans(refs: DataFrame, parent: DataFrame, *, ref: str, at: str, spread: st
     before the match, and looked up again with hot keys split by a hash of the column ``spread``.
     """
     kind = dict(refs.dtypes)[ref]
-    runs = parent_runs(parent, key, loaded, removed)
+    life = lives(parent, key, loaded, removed)
+    runs = parent_runs(life.select("key"))
     here = refs.filter(F.col(ref).isNotNull()).select(F.struct(*[c for c in refs.columns if c.lower() != "kind"]).alias("row"), F.col(ref).alias("key"), F.col(at).alias("at"), F.xxhash64(spread).alias("spread"))
     counts = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     family, code = key_code(F.col("key"), kind)
-    asked = counts.select("key", family.alias("family"), code.alias("code")).withColumn("block", F.floor(F.col("code") / BLOCK))
-    both = asked.withColumn("start", F.lit(None).cast("long")).withColumn("run", F.lit(None).cast(_run_type(runs))).unionByName(
-        runs.select("family", "block", F.col("start").alias("code"), "start", F.struct("start", "end", "members").alias("run"), F.lit(None).cast(kind).alias("key"))
-    )
-    # as of: the last run that starts at or before the code; a run sorts before references to its first code
+    none = F.lit(None).cast("long")
+    asked = counts.select("key", "n", family.alias("family"), code.alias("code")).withColumn("block", F.floor(F.col("code") / BLOCK))
+    both = asked.select("family", "block", "code", none.alias("start"), none.alias("end"), "key").unionByName(runs.select("family", "block", F.col("start").alias("code"), "start", "end", F.lit(None).cast(kind).alias("key")))
+    # as of: the last run that starts at or before the code; a run sorts before a reference to its first code
     before = Window.partitionBy("family", "block").orderBy("code", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("run", F.last("run", ignorenulls=True).over(before)).filter(F.col("start").isNull())
-    inside = F.col("run").isNotNull() & (F.col("code") <= F.col("run.end"))
-    members = F.when(inside, F.get(F.col("run.members"), (F.col("code") - F.col("run.start")).cast("int")))
-    if kind == "string":
-        members = F.filter(members, lambda m: m["key"] == F.col("key"))
-    verdict = found.withColumn("member", F.try_element_at(members, F.lit(1))).select("key", F.col("member").isNotNull().alias("there"), F.col("member.loaded").alias("loaded"), F.col("member.removed").alias("removed"))
+    found = both.withColumn("end", F.last("end", ignorenulls=True).over(before)).filter(F.col("start").isNull())
+    inside = found.select("key", F.coalesce(F.col("code") <= F.col("end"), F.lit(False)).alias("inside"))
+    # beyond every run: missing without a look-up; those inside meet the life of their key
+    met = inside.filter("inside").select("key").join(life.withColumn("there", F.lit(True)), "key", "left")
+    beyond = inside.filter("not inside").select("key", F.lit(None).cast(dict(life.dtypes)["loaded"]).alias("loaded"), F.lit(None).cast(dict(life.dtypes)["removed"]).alias("removed"), F.lit(None).cast("boolean").alias("there"))
+    verdict = met.unionByName(beyond).select("key", F.col("there").isNotNull().alias("there"), "loaded", "removed")
     out = lookup(here, verdict, ["key"], ["spread"], counts=counts)
     what = F.when(~F.col("there"), "missing").when(F.col("removed") <= F.col("at"), "deleted").when(F.col("loaded") > F.col("at"), "late")
     return out.withColumn("what", what).filter(F.col("what").isNotNull()).select("row.*", F.col("what").alias("kind"))
-
-
-def _run_type(runs: DataFrame) -> str:
-    types = dict(runs.dtypes)
-    return f"struct<start:{types['start']},end:{types['end']},members:{types['members']}>"

@@ -1,8 +1,8 @@
 """Shortest paths: least costs, features along the paths, and the paths themselves.
 
 A graph is a table of directed edges. Two engines give the same routes: where the collapsed graph was counted to fit in
-a bounded broadcast, each task searches it from its origins (Dijkstra with a cutoff, stopping once all destinations are
-settled); a larger graph stays distributed and is relaxed by joins, frontier by frontier, and traced back by joins.
+a bounded broadcast, each task searches it from its origins, many at once (``kernel``), stopping once all destinations
+are settled; a larger graph stays distributed and is relaxed by joins, frontier by frontier, and traced back by joins.
 
 Among paths of equal cost the one with fewer edges wins, then the one whose last step comes from the smaller node, so
 features along paths are defined.
@@ -10,20 +10,20 @@ features along paths are defined.
 
 from __future__ import annotations
 
-import heapq
-import math
-import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import INF, NAN, DataError, finite, known, require, total
-from ..session import settled, shared_folder, shipped
+from ..session import release, settled, shipped, table_path
+from . import kernel
 
 #: Collapsed edges up to which a graph is broadcast (about 50 bytes each as arrays).
 BROADCAST_EDGES = 5_000_000
@@ -31,26 +31,49 @@ BROADCAST_EDGES = 5_000_000
 
 @dataclass(frozen=True)
 class PathAggregation:
-    """A reduction of an edge column along a path: ``sum``, ``mean``, ``min`` or ``max``. Empty paths give 0 for a sum, else NaN."""
+    """A reduction of an edge column, or of a Column over an edge's ``u``, ``v``, ``weight`` and attributes, along a path.
+
+    ``how`` is ``sum``, ``mean``, ``min`` or ``max``, for which empty paths give 0 for a sum, else NaN; or a function of the
+    values in travel order, a numpy array that may be empty, to a number. Undefined values are skipped.
+    """
 
     name: str
-    attribute: str
-    how: str = "sum"
+    attribute: str | Column
+    how: str | Callable[[np.ndarray], float] = "sum"
 
 
 @dataclass(frozen=True)
 class NodeAggregation:
-    """A reduction of a node column along a path, with or without its two end nodes."""
+    """A reduction of a node column, or of a Column over the node table, along a path, with or without its two end nodes."""
 
     name: str
-    attribute: str
-    how: str = "sum"
+    attribute: str | Column
+    how: str | Callable[[np.ndarray], float] = "sum"
     include_endpoints: bool = True
 
 
-def with_weight(edges: DataFrame, name: str, weight: Column) -> DataFrame:
-    """Edges with a computed column."""
-    return edges.withColumn(name, weight)
+def _named(df: DataFrame | None, aggregations: Sequence, tag: str) -> tuple[DataFrame | None, list]:
+    """The table with a column for every attribute that is given as a Column, and the aggregations over names only."""
+    out = []
+    for i, a in enumerate(aggregations):
+        if not isinstance(a.attribute, str):
+            df = df.withColumn(f"__{tag}{i}", a.attribute)
+            a = replace(a, attribute=f"__{tag}{i}")
+        out.append(a)
+    return df, out
+
+
+def with_weight(edges: DataFrame, name: str, weight: Column | Callable[[pd.DataFrame], pd.Series], columns: Sequence[str] = ()) -> DataFrame:
+    """Edges with a computed column: a Column, or for what no Column expresses a function of a pandas table of the ``columns``,
+    applied to Arrow batches."""
+    if isinstance(weight, Column):
+        return edges.withColumn(name, weight)
+
+    def run(part: pd.DataFrame) -> pd.Series:
+        return weight(part).astype(float)
+
+    run.__annotations__ = {"part": pd.DataFrame, "return": pd.Series}
+    return edges.withColumn(name, F.pandas_udf(run, "double")(F.struct(*columns)))
 
 
 def with_combined(edges: DataFrame, sources: Sequence[str], name: str) -> DataFrame:
@@ -74,66 +97,17 @@ def collapse(edges: DataFrame, weight: str, attributes: Sequence[str] = (), *, d
     return both.groupBy("a", "b").agg(best.alias("m")).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("m.w").alias("weight"), F.col("m.k").alias("k"), *[F.col(f"m.{a}").alias(a) for a in attributes])
 
 
-@dataclass
-class _Graph:
-    """Arrays of a graph: nodes in sorted order, edges by start node."""
-
-    ids: np.ndarray
-    start: np.ndarray
-    to: np.ndarray
-    weight: np.ndarray
-    edge_values: list[np.ndarray]
-    node_values: list[np.ndarray]
-
-
-def _arrays(graph: DataFrame, attributes: Sequence[str], nodes: DataFrame | None, node: str, node_attributes: Sequence[str]) -> _Graph:
+def _arrays(graph: DataFrame, attributes: Sequence[str], nodes: DataFrame | None, node: str, node_attributes: Sequence[str]) -> kernel.Network:
     e = graph.select("u", "v", "weight", *[F.col(a).cast("double").alias(f"e{i}") for i, a in enumerate(attributes)]).toArrow()  # rows as Python objects take several times the memory
-    parts = [e["u"].to_numpy(), e["v"].to_numpy()]
     n = None
     if nodes is not None:
         n = nodes.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("id")).agg(F.max(F.lit(1)).alias("one"), *[F.max(F.col(a).cast("double")).alias(f"n{i}") for i, a in enumerate(node_attributes)]).toArrow()
-        parts.append(n["id"].to_numpy())
-    ids = np.unique(np.concatenate(parts)) if sum(map(len, parts)) else np.empty(0, np.int64)
-    u, v = np.searchsorted(ids, e["u"].to_numpy()), np.searchsorted(ids, e["v"].to_numpy())
-    order = np.lexsort((v, u))
-    start = np.searchsorted(u[order], np.arange(len(ids) + 1))
-    node_values = []
+    net = kernel.network(e["u"].to_numpy(), e["v"].to_numpy(), e["weight"].to_numpy(), [e[f"e{i}"].to_numpy() for i in range(len(attributes))], None if n is None else n["id"].to_numpy())
     for i in range(len(node_attributes)):
-        full = np.full(len(ids), np.nan)
-        full[np.searchsorted(ids, n["id"].to_numpy())] = n[f"n{i}"].to_numpy().astype(float)
-        node_values.append(full)
-    return _Graph(ids, start, v[order], e["weight"].to_numpy().astype(float)[order], [e[f"e{i}"].to_numpy().astype(float)[order] for i in range(len(attributes))], node_values)
-
-
-def _search(g: _Graph, origin: int, wanted: set[int], cutoff: float) -> tuple[dict[int, tuple[float, int, int]], dict[int, int]]:
-    """Settled nodes as (cost, hops, previous node) and the edge each was reached by."""
-    start, to, weight = g.start, g.to, g.weight
-    best: dict[int, tuple[float, int, int]] = {origin: (0.0, 0, -1)}
-    by: dict[int, int] = {}
-    done: dict[int, tuple[float, int, int]] = {}
-    heap = [(0.0, 0, -1, origin)]
-    missing = set(wanted)
-    while heap and missing:
-        cost, hops, prev, node = heapq.heappop(heap)
-        if node in done:
-            continue
-        done[node] = (cost, hops, prev)
-        missing.discard(node)
-        for e in range(start[node], start[node + 1]):
-            other = int(to[e])
-            new = (cost + float(weight[e]), hops + 1, node)
-            if new[0] <= cutoff and other not in done and (other not in best or new < best[other]):
-                best[other] = new
-                by[other] = e
-                heapq.heappush(heap, (*new, other))
-    return done, by
-
-
-def _reduce(values: list[float], how: str) -> float:
-    values = [x for x in values if not math.isnan(x)]
-    if not values:
-        return 0.0 if how == "sum" else NAN
-    return {"sum": math.fsum, "mean": lambda v: math.fsum(v) / len(v), "min": min, "max": max}[how](values)
+        full = np.full(len(net.ids), np.nan)
+        full[np.searchsorted(net.ids, n["id"].to_numpy())] = n[f"n{i}"].to_numpy().astype(float)
+        net.node_values.append(full)
+    return net
 
 
 def fits(graph: DataFrame, nodes: DataFrame | None = None) -> bool:
@@ -156,54 +130,82 @@ def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes:
     origin is searched once for all its destinations; an origin has at most as many as the broadcast graph has nodes.
     """
     spark = shipped(requests.sparkSession)
+    graph, edge_aggregations = _named(graph, edge_aggregations, "e")
+    nodes, node_aggregations = _named(nodes, node_aggregations, "n")
     edge_attrs = list(dict.fromkeys(a.attribute for a in edge_aggregations))
     node_attrs = list(dict.fromkeys(a.attribute for a in node_aggregations))
     names = _names(edge_aggregations, node_aggregations)
     shared = spark.sparkContext.broadcast(_arrays(graph, edge_attrs, nodes if node_attrs else None, node, node_attrs))
     kind = requests.schema["origin"].dataType
     schema = T.StructType([T.StructField("origin", kind), T.StructField("dest", kind), T.StructField("cost", T.DoubleType()), *[T.StructField(n, T.DoubleType()) for n in names], *([T.StructField("path", T.ArrayType(kind))] if paths else [])])
+    of_edges = [(edge_attrs.index(a.attribute), a.how) for a in edge_aggregations]
+    of_nodes = [(node_attrs.index(a.attribute), a.how, a.include_endpoints) for a in node_aggregations]
     detailed = bool(names) or paths
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = shared.value
-        place = {x: i for i, x in enumerate(g.ids.tolist())}
-        columns = [f.name for f in schema]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        finder = kernel.Search(net, cutoff, detailed)
         for batch in batches:
-            out: list[list] = []
-            for origin, dests in zip(batch["origin"].tolist(), batch["dests"], strict=True):
-                o = place.get(origin)
-                at = {d: place.get(d) for d in dests}
-                done, by = _search(g, o, {x for x in at.values() if x is not None}, cutoff) if o is not None else ({}, {})
-                for d, x in at.items():
-                    if d == origin:
-                        hit, chain = (0.0,), [o] if o is not None else []
-                    elif x is not None and x in done:
-                        hit, chain = done[x], []
-                        if detailed:
-                            while x != -1:
-                                chain.append(x)
-                                x = done[x][2]
-                            chain.reverse()
-                    else:
-                        hit, chain = (INF,), None
-                    row = [origin, d, hit[0]]
-                    for a in edge_aggregations:
-                        values = g.edge_values[edge_attrs.index(a.attribute)]
-                        row.append(NAN if chain is None else _reduce([float(values[by[x]]) for x in chain[1:]], a.how))
-                    for a in node_aggregations:
-                        values = g.node_values[node_attrs.index(a.attribute)]
-                        row.append(NAN if chain is None else _reduce([float(values[x]) for x in (chain if a.include_endpoints else chain[1:-1])], a.how))
+            every, offsets = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+            origins = net.index(batch.column(0).to_numpy(zero_copy_only=False))
+            dests = net.index(every.to_numpy(zero_copy_only=False))
+            offsets = offsets - offsets[0]
+            for lo in range(0, batch.num_rows, finder.size):
+                hi = min(batch.num_rows, lo + finder.size)
+                a, b = offsets[lo], offsets[hi]
+                row = np.repeat(np.arange(lo, hi), np.diff(offsets[lo : hi + 1]))
+                origin, dest = batch.column(0).take(pa.array(row)), every.slice(a, b - a)
+                at, to = origins[row], dests[a:b]
+                cost = np.full(b - a, INF)
+                own = pc.equal(origin, dest).to_numpy(zero_copy_only=False).astype(bool)
+                cost[own] = 0.0
+                # of another part of the network: out of reach without a search
+                ask = np.flatnonzero(~own & (at >= 0) & (to >= 0))
+                ask = ask[net.part[at[ask]] == net.part[to[ask]]]
+                cost[ask] = finder.run(np.maximum(origins[lo:hi], 0), row[ask] - lo, to[ask])
+                columns = [origin, dest, pa.array(cost)]
+                if detailed:
+                    known = np.flatnonzero((cost < INF) & (at >= 0) & (to >= 0))
+                    values, stops = _along(finder, row - lo, to, known, of_edges, of_nodes, paths, own & (at < 0))
+                    columns += [pa.array(v) for v in values]
                     if paths:
-                        row.append([] if chain is None else [g.ids[x].item() if hasattr(g.ids[x], "item") else g.ids[x] for x in chain] or [origin])
-                    out.append(row)
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+                        columns.append(_lists(net, stops, origin, own & (at < 0)))
+                finder.reset()
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     grouped = requests.filter("origin is not null and dest is not null").groupBy("origin").agg(F.collect_set("dest").alias("dests"))
-    return grouped.mapInPandas(run, schema)
+    return grouped.mapInArrow(run, schema)
+
+
+def _along(finder: kernel.Search, slot: np.ndarray, to: np.ndarray, known: np.ndarray, of_edges: list, of_nodes: list, paths: bool, alone: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Aggregations of all requests of a batch, NaN where there is no path, and the nodes of the paths. ``alone`` are nodes unknown
+    to the graph asked for themselves: an empty path."""
+    empty = lambda how: float(how(np.empty(0))) if callable(how) else 0.0 if how == "sum" else NAN
+    hows = [*[h for _, h in of_edges], *[h for _, h, _ in of_nodes]]
+    values = [np.where(alone, empty(h), NAN) for h in hows]
+    stops = [np.empty(0, np.int64)] * len(slot) if paths else []
+    for lo in range(0, len(known), kernel.TRACED):
+        some = known[lo : lo + kernel.TRACED]
+        got, chains = kernel.reduced(finder, slot[some], to[some], of_edges, of_nodes, paths)
+        for v, g in zip(values, got, strict=True):
+            v[some] = g
+        for i, chain in zip(some, chains, strict=False):
+            stops[i] = chain
+    return values, stops
+
+
+def _lists(net: kernel.Network, stops: list[np.ndarray], origin: pa.Array, alone: np.ndarray) -> pa.Array:
+    """Paths as lists of node ids; a node unknown to the graph is its own path."""
+    sizes = np.array([len(s) for s in stops], np.int64)
+    flat = np.concatenate(stops).astype(np.int64) if sizes.sum() else np.empty(0, np.int64)
+    ids = pa.array(net.ids[flat] if len(flat) else [], origin.type)
+    if alone.any():
+        own = np.flatnonzero(alone)
+        ids = pa.concat_arrays([ids, origin.take(pa.array(own))])
+        place = np.concatenate([np.repeat(np.arange(len(stops)), sizes), own])
+        ids = ids.take(pa.array(np.argsort(place, kind="stable")))
+        sizes[own] = 1
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), ids)
 
 
 def relax(origins: DataFrame, graph: DataFrame, *, cutoff: float = INF, most_rounds: int = 100_000) -> DataFrame:
@@ -213,31 +215,34 @@ def relax(origins: DataFrame, graph: DataFrame, *, cutoff: float = INF, most_rou
     nothing got better, after at most as many as a shortest path has edges; every round's tables are written, so lineage
     stays short. For graphs beyond a broadcast; hot nodes are met by the join's skew handling.
     """
-    best = settled(origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost")).distinct())
+    best = held = settled(origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost")).distinct())
     frontier = best
     for _ in range(most_rounds):
         steps = frontier.join(graph.select(F.col("u").alias("node"), "v", "weight"), "node")
         steps = steps.select("origin", F.col("v").alias("node"), (F.col("cost") + F.col("weight")).alias("new")).filter(F.col("new") <= cutoff)
         steps = steps.groupBy("origin", "node").agg(F.min("new").alias("new"))
         met = settled(best.join(steps, ["origin", "node"], "full"))
+        release(held)
         better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))
         frontier = met.filter(better).select("origin", "node", F.col("new").alias("cost"))
         if frontier.isEmpty():
             return met.select("origin", "node", "cost")
-        best = met.select("origin", "node", F.least("cost", "new").alias("cost"))
+        held, best = met, met.select("origin", "node", F.least("cost", "new").alias("cost"))
     raise DataError("no end of the relaxation")
 
 
 def labels(origins: DataFrame, graph: DataFrame, *, cutoff: float = INF, most_rounds: int = 100_000) -> DataFrame:
     """``(origin, node, cost, hops, prev)`` of all nodes reachable within the cutoff: ``relax`` with each node's best last step
     (null at the origin), chosen as ``search`` chooses it."""
-    best = settled(origins.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(graph.schema["u"].dataType).alias("prev")).alias("best")).distinct())
+    best = held = settled(origins.select("origin", F.col("origin").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast(graph.schema["u"].dataType).alias("prev")).alias("best")).distinct())
     frontier = best.select("origin", "node", "best.cost", "best.hops")
     for _ in range(most_rounds):
         steps = frontier.join(graph.select(F.col("u").alias("node"), "v", "weight"), "node")
         steps = steps.select("origin", F.col("v").alias("node"), F.struct((F.col("cost") + F.col("weight")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("prev")).alias("new"))
         steps = steps.filter(F.col("new.cost") <= cutoff).groupBy("origin", "node").agg(F.min("new").alias("new"))
         met = settled(best.join(steps, ["origin", "node"], "full"))
+        release(held)
+        held = met
         better = F.col("new").isNotNull() & (F.col("best").isNull() | (F.col("new") < F.col("best")))
         best = met.select("origin", "node", F.when(better, F.col("new")).otherwise(F.col("best")).alias("best"))
         # another last step at the same cost and hops changes nothing further on
@@ -251,7 +256,7 @@ def labels(origins: DataFrame, graph: DataFrame, *, cutoff: float = INF, most_ro
 def _traced(asked: DataFrame, reached: DataFrame) -> DataFrame:
     """``(origin, dest, path)`` of the reached requests with two ends, back from the destination, a step a round; every
     round writes its steps once."""
-    spark, folder, i = asked.sparkSession, f"{shared_folder(asked.sparkSession)}/odolith-{uuid.uuid4().hex}", 0
+    spark, folder, i = asked.sparkSession, table_path(asked.sparkSession), 0
     at = asked.filter(F.col("origin") != F.col("dest")).withColumn("node", F.col("dest"))
     while True:
         step = at.join(reached, ["origin", "node"]).filter("hops > 0").select("origin", "dest", "node", "hops", "prev")
@@ -268,6 +273,8 @@ def _traced(asked: DataFrame, reached: DataFrame) -> DataFrame:
 def _relaxed(requests: DataFrame, graph: DataFrame, *, cutoff: float, nodes: DataFrame | None, node: str, edge_aggregations: Sequence[PathAggregation], node_aggregations: Sequence[NodeAggregation], paths: bool) -> DataFrame:
     """What ``search`` gives, by relaxation, tracing and joins."""
     names = _names(edge_aggregations, node_aggregations)
+    graph, edge_aggregations = _named(graph, edge_aggregations, "e")
+    nodes, node_aggregations = _named(nodes, node_aggregations, "n")
     asked = settled(requests.filter("origin is not null and dest is not null").select("origin", "dest").distinct())
     reached = settled(labels(asked.select("origin").distinct(), graph, cutoff=cutoff))
     own = F.col("origin") == F.col("dest")
@@ -347,24 +354,42 @@ def steps_of(paths: DataFrame, ident: str, path: str = "path") -> DataFrame:
 _SQL = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 
 
+def _reducer(how: str | Callable[[np.ndarray], float]) -> Callable[[Column, Column], Column]:
+    """An aggregate of a value in the order of ``seq``, undefined values skipped."""
+    if isinstance(how, str):
+        return lambda value, seq: _SQL[how](value)
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([float(how(np.asarray(v, float))) for v in values])
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    udf = F.pandas_udf(run, "double")
+    return lambda value, seq: udf(F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(seq.alias("seq"), value.alias("v"))))), lambda s: s["v"]))
+
+
 def along_paths(paths: DataFrame, ident: str, graph: DataFrame, *, path: str = "path", nodes: DataFrame | None = None, node: str = "node_id", edge_aggregations: Sequence[PathAggregation] = (), node_aggregations: Sequence[NodeAggregation] = ()) -> DataFrame:
     """Cost and aggregations of given paths (``ident`` unique, ``path`` an array of nodes), as joins and one grouping.
 
     ``graph`` is collapsed (both directions of an undirected street are edges of it). A path over a missing edge, or an
     empty one, costs ``+inf`` with NaN aggregations; a path of one node costs 0.
     """
+    shipped(paths.sparkSession)
+    graph, edge_aggregations = _named(graph, edge_aggregations, "e")
+    nodes, node_aggregations = _named(nodes, node_aggregations, "n")
     step = steps_of(paths, ident, path).join(graph.withColumn("there", F.lit(1)), ["u", "v"], "left")
-    aggs = [F.sum("weight").alias("cost"), F.count_if(F.col("there").isNull()).alias("gaps"), *[_SQL[a.how](known(F.col(a.attribute).cast("double"))).alias(a.name) for a in edge_aggregations]]
+    seq = F.col("seq")
+    aggs = [F.sum("weight").alias("cost"), F.count_if(F.col("there").isNull()).alias("gaps"), *[_reducer(a.how)(known(F.col(a.attribute).cast("double")), seq).alias(a.name) for a in edge_aggregations]]
     per = step.groupBy(ident).agg(*aggs)
     out = paths.select(ident, F.size(path).alias("n")).join(per, ident, "left")
     if node_aggregations:
         at = nodes.select(F.col(node).alias("node"), *[F.col(a).cast("double").alias(a) for a in dict.fromkeys(a.attribute for a in node_aggregations)])
         stop = paths.select(ident, F.size(path).alias("size"), F.posexplode(path).alias("seq", "node")).join(at, "node", "left")
         inner = (F.col("seq") > 0) & (F.col("seq") < F.col("size") - 1)
-        per = stop.groupBy(ident).agg(*[_SQL[a.how](F.when(F.lit(a.include_endpoints) | inner, known(a.attribute))).alias(a.name) for a in node_aggregations])
+        per = stop.groupBy(ident).agg(*[_reducer(a.how)(F.when(F.lit(a.include_endpoints) | inner, known(a.attribute)), seq).alias(a.name) for a in node_aggregations])
         out = out.join(per, ident, "left")
     bad = (F.col("n") < 1) | (F.coalesce("gaps", F.lit(0)) > 0)
-    value = lambda a: F.when(bad, NAN).otherwise(F.coalesce(F.col(a.name), F.lit(0.0 if a.how == "sum" else NAN))).alias(a.name)
+    empty = lambda how: F.lit(float(how(np.empty(0)))) if callable(how) else F.lit(0.0 if how == "sum" else NAN)
+    value = lambda a: F.when(bad, NAN).otherwise(F.coalesce(F.col(a.name), empty(a.how))).alias(a.name)
     return out.select(ident, F.when(bad, INF).otherwise(F.coalesce("cost", F.lit(0.0))).alias("cost"), *[value(a) for a in (*edge_aggregations, *node_aggregations)])
 
 
@@ -401,14 +426,3 @@ def floor_within_zone(od: DataFrame, floors: float | DataFrame, *, by: Sequence[
         return od.withColumn("cost", F.when(ok, F.greatest("cost", F.lit(float(floors)))).otherwise(F.col("cost")))
     out = od.join(floors.select("origin", F.col("floor").cast("double").alias("floor"), *by), ["origin", *by], "left")
     return out.withColumn("cost", F.when(ok & F.col("floor").isNotNull(), F.greatest("cost", "floor")).otherwise(F.col("cost"))).select(od.columns)
-
-
-def best_path_edges(found: DataFrame) -> DataFrame:
-    """Edges of the paths of ``search(..., paths=True)`` with their order: ``(origin, dest, seq, u, v)``."""
-    keyed = found.withColumn("id", F.struct("origin", "dest"))
-    return steps_of(keyed, "id").select("id.origin", "id.dest", "seq", "u", "v")
-
-
-def order_of(paths: DataFrame) -> Window:
-    """The window of a path's edges in travel order."""
-    return Window.partitionBy("origin", "dest").orderBy("seq")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.tags import NOTHING, SEPARATORS, first_whole, is_missing
 from ..operators import impute, proximity, references
 from ..schema import union_all
+from ..session import settled, small
 from ..sources.tables import table
 
 NEAR, REACH = 15.0, 60.0
@@ -52,28 +53,34 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("tbl", "field", "period", "kind").agg(F.count(F.lit(1)).alias("references"))
 
 
-def _fields(spark: SparkSession, d: str) -> list[impute.Field]:
-    listed = table(spark, d, "tag_values").filter("tag_key = 'highway' and tag_value is not null").select("tag_value").distinct().limit(10_000)
-    classes = sorted(r[0] for r in listed.collect())  # the reference list of one key, a settings table
-    return [impute.Field("highway", F.when(~is_missing("highway"), F.col("highway")), F.col("highway").isin(classes)), impute.Field("lanes", first_whole("lanes", 1, 12))]
+def _completed(spark: SparkSession, d: str) -> DataFrame:
+    edges = table(spark, d, "edges")
+    listed = table(spark, d, "tag_values").filter("tag_key = 'highway' and tag_value is not null").select(F.col("tag_value").alias("highway"), F.lit(True).alias("__listed")).distinct()
+    edges = edges.join(small(settled(listed)), "highway", "left")
+    fields = [impute.Field("highway", F.when(~is_missing("highway"), F.col("highway")), F.col("__listed")), impute.Field("lanes", first_whole("lanes", 1, 12), number=(1, 12))]
+    speed = F.when(F.col("speed_kph").isNotNull() & ~F.isnan("speed_kph"), F.floor(F.col("speed_kph") / 10))
+    return impute.chained(edges, "edge_id", "way_id", fields, {"speed": speed, "oneway": F.col("oneway"), "parallel": F.col("k")})
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Edges whose street tells the missing value: the first level of the imputation's equations."""
-    fields = _fields(spark, d)
-    filled = impute.group_fill(table(spark, d, "edges"), "edge_id", "way_id", fields)
-    each = F.inline(F.array(*[F.struct(F.lit(f.name).alias("field"), F.col(f"{f.name}_fill").cast("string").alias("filled_value")) for f in fields]))
-    return filled.select("edge_id", each).filter("filled_value is not null").distinct()
+    """What the chained equations fill on the evidence of the street."""
+    each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("filled_value"), F.col(f"{f}_by").alias("by")) for f in ("highway", "lanes")]))
+    return _completed(spark, d).select("edge_id", each).filter("by = 'group'").select("edge_id", "field", "filled_value").distinct()
 
 
 def p5_completed(spark: SparkSession, d: str) -> DataFrame:
-    """Every edge with both fields completed, by its street or else by seeded draws from the chained equations, and marks of what was filled."""
-    speed = F.when(F.col("speed_kph").isNotNull() & ~F.isnan("speed_kph"), F.floor(F.col("speed_kph") / 10))
-    return impute.chained(table(spark, d, "edges"), "edge_id", "way_id", _fields(spark, d), {"speed": speed, "oneway": F.col("oneway"), "parallel": F.col("k")}, draw=True)
+    """Every edge with both fields completed, by its street or else by seeded draws from the fitted models, and marks of what was filled."""
+    return _completed(spark, d)
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per field how many edges knew it, had it filled by their street, by the chain, or not at all."""
+    each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f"{f}_by"), F.when(F.col(f).isNotNull(), "known").otherwise("empty")).alias("by")) for f in ("highway", "lanes")]))
+    return _completed(spark, d).select(each).groupBy("field", "by").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p2_found, p3_found, p3_report, p5_found, p5_completed)}
+    return {q.__name__: q for q in (p2_found, p3_found, p3_report, p5_found, p5_completed, p5_report)}
 
 
 _P2 = f"""
@@ -136,10 +143,20 @@ h AS (
 ), l AS (
   SELECT way_id, n, row_number() OVER (PARTITION BY way_id ORDER BY count(*) DESC, n) AS best FROM k WHERE n IS NOT NULL GROUP BY way_id, n
 )
+"""
+_P5_FOUND = """
 SELECT DISTINCT edge_id, 'highway' AS field, h.highway AS filled_value FROM k JOIN h USING (way_id) WHERE no_highway AND best = 1
 UNION ALL
 SELECT DISTINCT edge_id, 'lanes', CAST(l.n AS VARCHAR) FROM k JOIN l USING (way_id) WHERE k.n IS NULL AND best = 1
 """
+# every edge that is neither known nor on a street that tells is left to the models, which fill all they are asked
+_P5_REPORT = """
+SELECT 'highway' AS field, CASE WHEN NOT no_highway THEN 'known' WHEN h.highway IS NOT NULL THEN 'group' ELSE 'chain' END AS "by", count(*) AS edges
+FROM k LEFT JOIN h ON h.way_id = k.way_id AND best = 1 WHERE edge_id IS NOT NULL GROUP BY ALL
+UNION ALL
+SELECT 'lanes', CASE WHEN k.n IS NOT NULL THEN 'known' WHEN l.n IS NOT NULL THEN 'group' ELSE 'chain' END, count(*)
+FROM k LEFT JOIN l ON l.way_id = k.way_id AND best = 1 WHERE edge_id IS NOT NULL GROUP BY ALL
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -147,5 +164,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2,
         "p3_found": _P3 + "SELECT DISTINCT tbl, field, period, kind, rec_key FROM judged WHERE kind IS NOT NULL",
         "p3_report": _P3 + 'SELECT tbl, field, period, kind, count(*) AS "references" FROM (SELECT DISTINCT * FROM judged WHERE kind IS NOT NULL) GROUP BY ALL',
-        "p5_found": _P5,
+        "p5_found": _P5 + _P5_FOUND,
+        "p5_report": _P5 + _P5_REPORT,
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only when it was measured to hold at most this many bytes.
 BROADCAST_BYTES = 64 << 20
 _own: dict[str, str] = {}
+_written: dict[str, set[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,7 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     key = context.applicationId
     if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="odolith-")
+        folder = tempfile.mkdtemp(prefix="odolith-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[key] = "file://" + folder
     return _own[key]
 
 
@@ -37,9 +42,40 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: lineage is cut, nothing is computed twice, and
     a lost executor costs at most a task. Column pruning and filters reach the written table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/odolith-{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._odolith_path = path
+    return out
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, known to ``clear``."""
+    path = f"{shared_folder(spark)}/odolith-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of ``settled`` that nothing reads any more: a round's input once its output is written."""
+    for t in tables:
+        path = getattr(t, "_odolith_path", None)
+        if path is not None:
+            _delete(t.sparkSession, path)
+            t._odolith_path = None
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application has left in the shared folder. For the end of a job or between jobs: results not
+    yet written can no longer be computed afterwards."""
+    for path in sorted(_written.get(spark.sparkContext.applicationId, set())):
+        _delete(spark, path)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -6,8 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Attributes of a consolidated network and their types; whole numbers may be written as "3.0".
-NODE_TYPES = {"x": "double", "y": "double", "is_degree_3": "int", "is_degree_4": "int", "is_traffic_signal": "int", "max_rank": "int", "min_rank": "int"}
-EDGE_TYPES = {"length": "double", "speed_kph": "double", "lanes_per_direction": "double", "elev_gain": "double", "elev_loss": "double", "oneway": "boolean"}
+NODE_TYPES = {
+    "x": "double",
+    "y": "double",
+    "is_degree_3": "int",
+    "is_degree_4": "int",
+    "max_highway_rank": "int",
+    "min_highway_rank": "int",
+    "is_traffic_signal": "int",
+    "is_stop": "int",
+    "is_yield": "int",
+    "is_roundabout": "int",
+}
+EDGE_TYPES = {
+    "length": "double",
+    "speed_kph": "double",
+    "oneway": "boolean",
+    "lanes_per_direction": "double",
+    "density_norm": "double",
+    "is_degree_3": "double",
+    "is_degree_4": "double",
+    "is_traffic_signal": "double",
+}
 
 
 def typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -25,7 +45,7 @@ def read_graphml(spark: SparkSession, path: str, *, node_types: dict[str, str] |
 
     Attributes are named by the file's keys, which are few and read first; a value that is absent is null.
     """
-    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string, _for string").load(path).filter("_id is not null").distinct().limit(10_000).collect()
+    keys = spark.read.format("xml").option("rowTag", "key").schema("_id string, `_attr.name` string, _for string").load(path).filter("_id is not null").distinct().orderBy("_id").collect()  # the file's own header
     data = "data array<struct<_key string, _VALUE string>>".replace("_key string, _VALUE string", "_key: string, _VALUE: string")
 
     def part(tag: str, own: str, columns: list) -> DataFrame:

@@ -38,7 +38,7 @@ def test_chain_recovers_what_other_fields_tell(spark):
         lanes = {"a": 1, "b": 3, "c": 6}[c]
         truth[i] = c
         rows.append((i, 10_000 + i, None if i % 5 == 0 else c, None if i % 7 == 3 else str(lanes), {"a": 30, "b": 50, "c": 100}[c], ""))
-    got = {x.id: x for x in impute.chained(frame(spark, rows), "id", "way", fields(), {"n": F.col("n")}, rounds=2).collect()}
+    got = {x.id: x for x in impute.chained(frame(spark, rows), "id", "way", fields(), {"n": F.col("n")}, rounds=2, draw=False).collect()}
     filled = [i for i in got if got[i].cls_filled]
     assert len(filled) == 120 and all(got[i].cls_by == "chain" for i in filled)
     assert sum(got[i].cls == truth[i] for i in filled) / len(filled) > 0.98
@@ -48,7 +48,7 @@ def test_chain_recovers_what_other_fields_tell(spark):
 def test_draws_keep_variation_and_repeat(spark):
     rows = [(i, 10_000 + i, None if i % 2 else "a" if i % 10 else "b", "1", 0, "") for i in range(2000)]
     df = frame(spark, rows)
-    peak = impute.chained(df, "id", "way", fields(), rounds=1).filter("cls_filled").groupBy("cls").count().collect()
+    peak = impute.chained(df, "id", "way", fields(), rounds=1, draw=False).filter("cls_filled").groupBy("cls").count().collect()
     assert {r.cls for r in peak} == {"a"}
     drawn = impute.chained(df, "id", "way", fields(), rounds=1, draw=True, seed=3).filter("cls_filled").select("id", "cls")
     share = drawn.filter("cls = 'b'").count() / drawn.count()
@@ -56,8 +56,25 @@ def test_draws_keep_variation_and_repeat(spark):
     assert drawn.exceptAll(impute.chained(df, "id", "way", fields(), rounds=1, draw=True, seed=3).filter("cls_filled").select("id", "cls")).isEmpty()
 
 
+def test_regression_keeps_mean_and_spread(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(3000):
+        lanes = {"a": 2, "b": 6}[c := r.choice("ab")] + r.choice((-1, 0, 0, 1))
+        rows.append((i, 10_000 + i, c, None if i % 3 == 0 else str(lanes), 0, ""))
+    f = [fields()[0], impute.Field("lanes", first_whole("lanes", 1, 12), number=(1, 12))]
+    got = impute.chained(frame(spark, rows), "id", "way", f, rounds=1)
+    stats = {(x.cls, x.lanes_filled): (x.m, x.s, x.n) for x in got.groupBy("cls", "lanes_filled").agg(F.avg("lanes").alias("m"), F.stddev("lanes").alias("s"), F.count("*").alias("n")).collect()}
+    for c in "ab":
+        assert abs(stats[c, True][0] - stats[c, False][0]) < 0.15 and abs(stats[c, True][1] - stats[c, False][1]) < 0.12 and stats[c, True][2] > 400
+    assert got.filter("lanes_filled and lanes_by = 'chain'").count() == 1000 and got.filter("lanes not between 1 and 12 or lanes is null").isEmpty()
+    flat = impute.chained(frame(spark, rows), "id", "way", f, rounds=1, draw=False).filter("lanes_filled").groupBy("cls").agg(F.count_distinct("lanes").alias("k")).collect()
+    assert all(x.k == 1 for x in flat)
+
+
 def test_no_known_value_at_all(spark):
-    got = impute.chained(frame(spark, [(1, 1, None, None, 0, ""), (2, 1, "?", None, 0, "")]), "id", "way", fields(), rounds=1).collect()
+    f = [fields()[0], impute.Field("lanes", first_whole("lanes", 1, 12), number=(1, 12))]
+    got = impute.chained(frame(spark, [(1, 1, None, None, 0, ""), (2, 1, "?", None, 0, "")]), "id", "way", f, rounds=1).collect()
     assert all(r.cls is None and not r.cls_filled and r.lanes is None for r in got)
 
 

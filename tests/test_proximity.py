@@ -32,6 +32,13 @@ def test_hot_grid_cells_are_split_without_loss(spark, monkeypatch):
     assert {(r.left_id, r.right_id) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_more_than_a_thousand_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "POINTS_PER_SPLIT", 2)
+    pts = [(100.0 * i + dx, 0.0) for i in range(1_100) for dx in (0.0, 0.5, 1.0, 1.5)]
+    got = proximity.near_pairs(frame(spark, pts), 5.0)
+    assert got.count() == 1_100 * 6 and got.select("left_id", "right_id").distinct().count() == 1_100 * 6
+
+
 def test_points_without_place_or_id_and_repeats(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, "a"), (1, 0.0, 0.0, "a"), (2, None, 0.0, "b"), (3, math.nan, 1.0, "c"), (None, 1.0, 1.0, "d"), (4, math.inf, 0.0, "e")], "k long, x double, y double, gx string")
     got = proximity.points(df, "k", note="gx")

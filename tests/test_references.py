@@ -47,8 +47,25 @@ def test_empty_tables_and_columns_of_clashing_names(spark):
 
 def test_runs_are_compressed(spark):
     p = spark.range(0, 5000).select((F.col("id") + F.when(F.col("id") >= 100, 7).otherwise(0)).alias("key"), F.lit(T[0]).alias("loaded_at"), F.lit(None).cast("timestamp").alias("removed_at"))
-    runs = references.parent_runs(p, "key", "loaded_at", "removed_at")
-    assert sorted((r.start, r.end) for r in runs.collect()) == [(0, 99), (107, 4095), (4096, 5006)]
+    runs = references.parent_runs(p.select("key"))
+    assert sorted((r.start, r.end) for r in runs.collect()) == [(0, 99), (107, 5006)]
+    text = spark.createDataFrame([(f"zone-{i:04d}",) for i in range(40)] + [(f"{i:04x}",) for i in range(16, 300)] + [("zone-0041",), ("no number",)], "key string")
+    assert sorted((r.family, r.end - r.start + 1) for r in references.parent_runs(text).collect()) == [("d4:zone-", 1), ("d4:zone-", 40), ("h", 1), ("x4", 284)]
+
+
+def test_more_hot_keys_than_any_list_could_hold(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SPLIT", 2)
+    left = spark.range(12_000).select((F.col("id") % 3_000).alias("k"), F.col("id").alias("rec"))
+    right = spark.range(0, 3_000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).cast("string").alias("v"))
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    hot = skew.hot_slots(counts, ["k"], "n")
+    assert hot.count() > 2_900 and hot.filter("splits <> 2").isEmpty()
+    got = skew.lookup(left, right, ["k"], ["rec"])
+    want = left.join(right, "k", "left")
+    assert got.count() == 12_000 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    monkeypatch.setattr(skew, "SLOTS", 64)  # keys that are not hot share slots with hot ones
+    got = skew.lookup(left.filter("k < 100 or rec < 3000"), right, ["k"], ["rec"])
+    assert got.exceptAll(want).isEmpty() and got.count() == 3_000 + 300
 
 
 def test_hot_keys_are_split_without_loss(spark):

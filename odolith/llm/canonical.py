@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import is_missing
-from ..operators.skew import lookup
-from ..session import settled, small
+from ..operators.skew import hot_slots, lookup, salted
+from ..session import settled, small, width
 
 # Letters of other scripts that look like a Latin letter, and Latin letters without a decomposition.
 LOOKALIKES = {
@@ -33,57 +33,94 @@ def _accented() -> dict[str, str]:
 _FOLD = {**_accented(), **LOOKALIKES}
 
 
-def plain(entry: Column, field: str | None = None) -> Column:
+def plain(entry: Column, field: str | Column | None = None) -> Column:
     """The words of an entry: case, accents, look-alike letters and punctuation folded, a leading ``field=`` or ``field:``
     and any remark in round brackets after the value taken off, invisible characters dropped. Null stays null."""
     c = F.regexp_replace(F.lower(entry), r"[\p{Cf}\p{Mn}]+", "")
     c = F.translate(c, "".join(_FOLD), "".join(_FOLD.values()))
     c = F.regexp_replace(c, r"(?<=[\p{L}\p{N}]\s{0,3})\([^()]*\)\s*$", " ")
-    if field:
-        c = F.regexp_replace(c, rf"^[^\p{{L}}\p{{N}}]*{field}\s*[=:]", " ")
+    if field is not None:
+        named = r"(?s)^[^\p{L}\p{N}]*([^=:]*?)\s*[=:](.*)$"
+        field = F.lower(F.lit(field) if isinstance(field, str) else field)
+        c = F.when(F.regexp_extract(c, named, 1) == field, F.regexp_extract(c, named, 2)).otherwise(c)
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
 
 
 def grams(words: Column) -> Column:
     """Distinct tokens of an entry: letter pairs within each word with its ends marked, each word on its own, so word
-    order does not matter."""
-    marked = F.transform(F.split(words, " "), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
+    order does not matter; of words of up to four letters also their sorted letters, as a swap leaves few of their pairs."""
+    each = F.split(words, " ")
+    marked = F.transform(each, lambda w: F.concat(F.lit("^"), w, F.lit("$")))
     pairs = F.flatten(F.transform(marked, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-    return F.when(F.length(words) > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    letters = F.transform(F.filter(each, lambda w: F.length(w).between(2, 4)), lambda w: F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(w, "")), "")))
+    return F.when(F.length(words) > 0, F.array_distinct(F.concat(pairs, letters))).otherwise(F.array().cast("array<string>"))
 
 
-def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(left_id, right_id, jaccard)`` of two token-set tables ``(part, id, tokens)`` in the same ``part`` with a
+#: Rows of one token that one task joins before the token is split.
+ROWS_PER_TOKEN = 50_000
+_JOIN = "\u0001"
+
+
+def similarity_join(left: DataFrame, right: DataFrame, threshold: float, *, common: int | None = None) -> DataFrame:
+    """Pairs ``(part, left_id, right_id, jaccard)`` of two token-set tables ``(part, id, tokens)`` in the same ``part`` with a
     Jaccard similarity of at least ``threshold``; no pair is lost.
 
-    Tokens are ordered by their frequency over both tables, rarest first. Two sets of that similarity must share a token
-    among the first ``n - ceil(t * n) + 1`` of each, so only these prefixes are joined; candidates whose sizes or whose
-    positions of the shared token already rule the similarity out are dropped, the rest verified exactly. Empty token
-    sets match nothing.
+    Tokens are ordered by their frequency over both tables, rarest first. Two sets of that similarity share at least
+    ``ceil(t * n)`` tokens of either, so they share one among the first ``n - ceil(t * n) + 1`` of each, and two, if they must
+    share as many, among one more. Only these prefixes are joined: by single tokens (``common`` 1) or by pairs of them (2),
+    which are far rarer; by default by whichever the tokens' counts promise fewer rows for. Candidates whose sizes or whose
+    positions of the shared token already rule the similarity out are dropped, and each is verified exactly, at its first
+    shared tokens only. Frequent tokens are split over tasks. Empty token sets match nothing.
     """
     t = float(threshold)
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    tokens = left.select("part", F.explode("tokens").alias("token")).unionByName(right.select("part", F.explode("tokens").alias("token")))
-    rarity = tokens.groupBy("part", "token").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda df, n: df.select("part", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("part", "token").agg(F.count(F.lit(1)).alias(n))
+    rarity = settled(count(left, "nl").join(count(right, "nr"), ["part", "token"], "full").na.fill(0).withColumn("n", F.col("nl") + F.col("nr")))
 
-    def ordered(df: DataFrame) -> DataFrame:
-        """Each set once, its tokens as sorted structs (frequency, token)."""
-        long = df.select("part", "id", F.explode("tokens").alias("token")).join(rarity, ["part", "token"])
+    def ordered(df: DataFrame, tag: str) -> DataFrame:
+        """Each set once, its tokens in order, spread over all tasks."""
+        long = df.select("part", "id", F.explode("tokens").alias("token")).join(rarity.select("part", "token", "n"), ["part", "token"])
         sets = long.groupBy("part", "id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
-        sets = sets.select("part", "id", F.transform("tokens", lambda s: s["token"]).alias("tokens"), F.size("tokens").alias("size"))
-        return sets.withColumn("prefix", F.slice("tokens", F.lit(1), (F.col("size") - F.ceil(F.lit(t) * F.col("size") - 1e-9) + 1).cast("int")))
-
-    a = ordered(left).select("part", F.col("id").alias("left_id"), F.col("tokens").alias("lt"), F.col("size").alias("ls"), F.posexplode("prefix").alias("lp", "token"))
-    b = ordered(right).select("part", F.col("id").alias("right_id"), F.col("tokens").alias("rt"), F.col("size").alias("rs"), F.posexplode("prefix").alias("rp", "token"))
-    met = a.join(b, ["part", "token"])
+        tasks = max(width(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+        return settled(sets.select("part", F.col("id").alias(f"{tag}_id"), F.transform("tokens", lambda s: s["token"]).alias(f"{tag}t"), F.size("tokens").alias(f"{tag}s")).repartition(tasks, f"{tag}_id"))
+
+    a, b = ordered(left, "left").withColumnsRenamed({"leftt": "lt", "lefts": "ls"}), ordered(right, "right").withColumnsRenamed({"rightt": "rt", "rights": "rs"})
+    must = lambda n: F.ceil(F.lit(t) * F.col(n) - 1e-9)
+    if common is None:
+        meet = rarity.agg(F.sum(F.col("nl") * F.col("nr")).alias("m")).first().m or 0
+        pairs = sum(df.agg(F.sum(F.col(n) * (F.col(n) - 1) / 2).alias("m")).first().m or 0 for df, n in ((a, "ls"), (b, "rs")))
+        common = 1 if meet <= pairs else 2
     need = t / (1 + t) * (F.col("ls") + F.col("rs"))  # tokens that must be shared
     size_ok = F.least("ls", "rs") >= t * F.greatest("ls", "rs") - 1e-9
-    # besides this token, no more than the shorter tail can follow, and no more than the shorter head was shared before
-    room = 1 + F.least(F.col("ls") - F.col("lp") - 1, F.col("rs") - F.col("rp") - 1) + F.least("lp", "rp")
-    pairs = met.filter(size_ok & (room >= need - 1e-9)).select("part", "left_id", "right_id", "lt", "rt", "ls", "rs").dropDuplicates(["part", "left_id", "right_id"])
-    shared = F.size(F.array_intersect("lt", "rt"))
-    return pairs.withColumn("jaccard", shared / (F.col("ls") + F.col("rs") - shared)).filter(F.col("jaccard") >= t - 1e-9).select("part", "left_id", "right_id", "jaccard")
+
+    def joined(x: DataFrame, y: DataFrame, k: int) -> DataFrame:
+        """Pairs that share at least ``k`` tokens, found at their first ``k`` shared ones."""
+        def keyed(df: DataFrame, tokens: str, n: str, at: str) -> DataFrame:
+            prefix = F.slice(tokens, F.lit(1), (F.col(n) - must(n) + k).cast("int"))
+            if k == 1:
+                return df.select("*", F.posexplode(prefix).alias(at, "token"))
+            after = lambda i: F.slice(tokens, i + 2, F.greatest(F.size(prefix) - i - 1, F.lit(0)))
+            two = F.flatten(F.transform(prefix, lambda p, i: F.transform(after(i), lambda q: F.struct(i.alias("at"), F.concat(p, F.lit(_JOIN), q).alias("token")))))
+            return df.select("*", F.inline(two).alias(at, "token"))
+
+        p, q = keyed(x, "lt", "ls", "lp"), keyed(y, "rt", "rs", "rp")
+        if k == 1:
+            hot = hot_slots(rarity.select("part", "token", F.col("nl").alias("n")), ["part", "token"], "n", ROWS_PER_TOKEN)
+            p, q = salted(p, q, ["part", "token"], ["left_id"], hot, "salt")
+        met = p.join(q, ["part", "token", *(["salt"] if k == 1 else [])])
+        # besides these tokens no more than the shorter tail can follow; before them nothing is shared
+        room = 1 + F.least(F.col("ls") - F.col("lp") - 1, F.col("rs") - F.col("rp") - 1)
+        met = met.filter(size_ok & (room >= need - 1e-9)).withColumn("both", F.array_intersect("lt", "rt"))
+        first = F.array_join(F.slice("both", 1, k), _JOIN) == F.col("token")
+        shared = F.size("both")
+        return met.filter(first).withColumn("shared", shared).withColumn("jaccard", shared / (F.col("ls") + F.col("rs") - shared)).filter(F.col("jaccard") >= t - 1e-9).select("part", "left_id", "right_id", "jaccard", "shared")
+
+    if common == 1:
+        return joined(a, b, 1).drop("shared")
+    # a pair that shares a single token has a short set on both sides
+    few = lambda n: must(n) < 2
+    return joined(a, b, 2).unionByName(joined(a.filter(few("ls")), b.filter(few("rs")), 1).filter("shared = 1")).drop("shared")
 
 
 def _edit_ratio(a: Column, b: Column) -> Column:
@@ -121,9 +158,7 @@ def canonicalize(values: DataFrame, reference: DataFrame, *, threshold: float =
     entries = values.select("field", "entry").distinct()
     names = reference.select(F.col("tag_key").alias("field"), F.explode(F.array(F.col("tag_value"), F.col("label"))).alias("name"), "tag_value").filter(F.col("name").isNotNull())
     names = names.withColumn("words", plain(F.col("name"))).filter(F.length("words") > 0).select("field", "words", "tag_value").distinct()
-    fields = [r[0] for r in reference.select("tag_key").distinct().orderBy("tag_key").limit(1_000).collect() if r[0]]
-    words = F.coalesce(*[F.when(F.col("field") == f, plain(F.col("entry"), f)) for f in fields], plain(F.col("entry"))) if fields else plain(F.col("entry"))
-    entries = settled(entries.withColumn("words", words))
+    entries = settled(entries.withColumn("words", plain(F.col("entry"), F.col("field"))))
     squash = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     # an entry so long that the allowed edits cannot shorten it to any name is unmatched without being cut into pairs
     longest = names.agg(F.coalesce(F.max(F.length("words")), F.lit(0)).alias("longest"))

@@ -6,10 +6,11 @@ import heapq
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import settled, shipped, small
 from .tokens import TOKENIZER, token_counts
 
 #: Blocks the whole mix is apportioned in: shares are met to about one part in this many.
@@ -57,56 +58,73 @@ def mix(sizes: DataFrame, targets: DataFrame, *, total: int | None = None, seed:
     """``(source, doc_id, n_tokens, repeats)``: how often each document is used so that sources have their target shares.
 
     ``sizes`` (``doc_id`` unique, ``source``, ``n_tokens``) should be a written table; ``targets`` (``source``,
-    ``target_share``, ``max_repeats``) is a short list of settings: of repeated names the largest share counts, rows
-    without a positive share or repeat count as 0. ``total`` tokens (default: as many as the targeted sources hold)
+    ``target_share``, ``max_repeats``) has a row a source: of repeated names the largest share counts, rows without a
+    positive share or repeat count as 0. ``total`` tokens (default: as many as the targeted sources hold)
     become ``blocks`` equal blocks, apportioned to sources by highest quotients and within a source to its shards. A
     source can give at most ``max_repeats`` times its tokens; what it cannot give goes to the others by their quotients.
     Within a shard documents come in a seeded order; a quota of r times the shard's tokens and some blocks more uses every
     document r times and those at the front once more, up to half a document from the quota, never above ``max_repeats``.
 
-    Documents without tokens, of no source or of one without target, are not used and do not come out. The driver gets one row
-    per target and shard (at most SHARDS a source). Same input and seed give the same selection in any row order.
+    Documents without tokens, of no source or of one without target, are not used and do not come out. The driver gets one
+    row per target; shards get their quotas in a task per source. Same input and seed give the same selection in any row order.
     """
-    spark = sizes.sparkSession
-    rows = targets.select(source_name("source").alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most")).filter("source is not null and source <> ''")
-    rows = rows.groupBy("source").agg(F.max(F.when(~F.isnan("share"), F.col("share"))).alias("share"), F.max("most").alias("most")).orderBy("source").limit(10_000).collect()
-    share = {r.source: max(0.0, r.share or 0.0) for r in rows}
-    most = {r.source: max(0, r.most or 0) for r in rows}
-    names = F.broadcast(spark.createDataFrame([(s,) for s in sorted(share)], "source string"))
+    spark = shipped(sizes.sparkSession)
+    rows = _targets(targets).collect()
+    share = {r.source: r.share for r in rows}
+    most = {r.source: r.most for r in rows}
+    names = small(settled(spark.createDataFrame([(s,) for s in sorted(share)], "source string")))
     docs = sizes.select("doc_id", source_name("source").alias("source"), F.col("n_tokens").cast("long").alias("n_tokens")).filter("n_tokens > 0").join(names, "source")
     have = {r.source: (r.docs, r.tokens) for r in docs.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}  # one row a target
     order = sorted(have)
     want = total if total is not None else sum(t for _, t in have.values())
     unit = max(1, -(-want // blocks))
     seats = apportion([share[s] for s in order], [-(-most[s] * have[s][1] // unit) for s in order], want // unit)
-    shards = F.broadcast(spark.createDataFrame([(s, min(SHARDS, -(-have[s][0] // DOCS_PER_SHARD))) for s in order], "source string, shards int"))
-    docs = docs.join(shards, "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int")).drop("shards")
-    quotas, held = [], {s: [] for s in order}
-    for r in docs.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).orderBy("source", "shard").collect():
-        held[r.source].append((r.shard, r.tokens))
-    for s, quota in zip(order, seats, strict=True):
-        parts = apportion([t for _, t in held[s]], [-(-most[s] * t // unit) for _, t in held[s]], quota)
-        for (shard, tokens), n in zip(held[s], parts, strict=True):
-            whole, rest = divmod(n * unit, tokens)
-            whole, rest = (whole, rest) if whole < most[s] else (most[s], 0)
-            quotas.append((s, shard, whole, rest))
-    table = F.broadcast(spark.createDataFrame(quotas, "source string, shard int, whole int, rest bigint"))
+    plan = [(s, min(SHARDS, -(-have[s][0] // DOCS_PER_SHARD)), n, most[s]) for s, n in zip(order, seats, strict=True)]
+    plan = small(settled(spark.createDataFrame(plan, "source string, shards int, seats bigint, most int")))
+    docs = docs.join(plan.select("source", "shards"), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int")).drop("shards")
+
+    def quotas(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("shard")
+        tokens, most = part.tokens.tolist(), int(part.most.iloc[0])
+        out = []
+        for shard, held, n in zip(part.shard, tokens, apportion(tokens, [-(-most * t // unit) for t in tokens], int(part.seats.iloc[0])), strict=True):
+            whole, rest = divmod(n * unit, held)
+            out.append((part.source.iloc[0], shard, *((whole, rest) if whole < most else (most, 0))))
+        return pd.DataFrame(out, columns=["source", "shard", "whole", "rest"])
+
+    held = docs.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).join(plan.select("source", "seats", "most"), "source")
+    table = settled(held.groupBy("source").applyInPandas(quotas, "source string, shard int, whole int, rest bigint"))  # at most SHARDS rows a source
     before = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = docs.withColumn("run", F.sum("n_tokens").over(before)).join(table, ["source", "shard"])
+    run = docs.withColumn("run", F.sum("n_tokens").over(before)).join(small(table), ["source", "shard"])
     more = (F.col("run") - F.col("n_tokens") / 2 <= F.col("rest")) & (F.col("rest") > 0)
     return run.withColumn("repeats", F.col("whole") + more.cast("int")).filter("repeats > 0").select("source", "doc_id", "n_tokens", "repeats")
 
 
+def _targets(targets: DataFrame) -> DataFrame:
+    """``(source, share, most)``, a row per source name: of repeated names the largest share and repeat count, 0 for undefined ones."""
+    rows = targets.select(source_name("source").alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("most")).filter("source is not null and source <> ''")
+    zero = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    return rows.groupBy("source").agg(zero(F.max(F.when(~F.isnan("share"), F.col("share")))).alias("share"), zero(F.max("most")).alias("most"))
+
+
 def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source, of either side: ``target_share``, ``max_repeats``, tokens available and used, and the share reached."""
-    t = targets.select(source_name("source").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).filter("source is not null and source <> ''").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    """Per source, of either side: ``target_share``, ``max_repeats``, tokens available and used, and the share reached.
+
+    ``exact_total`` is, on every row, the largest total at which every source that has documents and a target can hold its
+    target's share among these: the least of repeats times tokens over that share. A mix of a larger total has sources at
+    their cap.
+    """
+    t = _targets(targets).select("source", F.col("share").alias("target_share"), F.col("most").alias("max_repeats"))
     a = sizes.groupBy(F.coalesce(source_name("source"), F.lit("")).alias("source")).agg(F.sum("n_tokens").alias("available_tokens"))
     u = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("used_tokens"), F.count(F.lit(1)).alias("used_documents"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     joined = t.join(a, "source", "full").join(u, "source", "full").select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), zero("max_repeats"), zero("available_tokens"), zero("used_tokens"), zero("used_documents"))
-    # one row per source name: the sum is attached by a join, as a window over everything would be one task
-    whole = joined.agg(F.sum("used_tokens").alias("all"))
-    return joined.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("all") > 0, F.col("used_tokens") / F.col("all")).otherwise(0.0)).drop("all")
+    # one row per source name: the sums are attached by a join, as a window over everything would be one task
+    held = (F.col("target_share") > 0) & (F.col("available_tokens") > 0)
+    room = F.col("max_repeats") * F.col("available_tokens") / F.col("target_share")
+    whole = joined.agg(F.sum("used_tokens").alias("all"), (F.min(F.when(held, room)) * F.sum(F.when(held, F.col("target_share")))).alias("exact"))
+    out = joined.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("all") > 0, F.col("used_tokens") / F.col("all")).otherwise(0.0))
+    return out.withColumn("exact_total", F.floor(F.coalesce("exact", F.lit(0.0))).cast("long")).drop("all", "exact")
 
 
 def document_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -119,4 +137,4 @@ def mix_documents(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZE
     sizes = document_sizes(docs, tokenizer)
     chosen = settled(mix(sizes, targets, **options))
     shares = mix_report(chosen, sizes.filter("false"), targets).filter("used_tokens > 0").select("source", "target_share", "actual_share")
-    return chosen.join(F.broadcast(shares), "source")  # one row per target
+    return chosen.join(small(settled(shares)), "source")

@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with items of varying length: large-item matching on the size histogram.
 
 Items of one size are interchangeable, and there are at most ``capacity`` sizes, so the whole packing is planned on the
-histogram of sizes: however many items there are, the plan has a number of steps that depends on the capacity alone.
-Items then find their container by their rank among the items of their size.
+histogram of sizes, one task a kind of container: however many items there are, the plan has a number of steps that
+depends on the capacity alone. Items then find their container by their rank among the items of their size.
 """
 
 from __future__ import annotations
@@ -12,16 +12,15 @@ from collections import defaultdict
 from collections.abc import Mapping
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settled
+from ..session import settled, shipped, small
 from .tokens import TOKENIZER, token_counts
 
 #: Items of one size that one task ranks; a size with more is ranked in parts.
 RANKED_PER_TASK = 50_000
-#: Largest capacity: bounds histogram and plan, which the driver holds.
-LARGEST = 1 << 20
 
 
 class Placement(NamedTuple):
@@ -121,7 +120,7 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     An item no longer than the capacity is one piece; a longer one is cut into full pieces and a rest.
     """
     c = F.col("capacity_tokens").cast("long")
-    every = sizes.join(F.broadcast(containers), F.lit(True))
+    every = sizes.join(small(containers), F.lit(True))  # every item for every kind is what is asked
     part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / c).cast("long")))
     cut = every.filter(F.col("n_tokens") > 0).withColumn("part", part)
     return cut.select("container_kind", c.alias("capacity_tokens"), "doc_id", F.col("part").cast("int").alias("part"), (F.col("part") * c).alias("start"), F.least(c, F.col("n_tokens") - F.col("part") * c).alias("size"))
@@ -130,48 +129,50 @@ def pieces(sizes: DataFrame, containers: DataFrame) -> DataFrame:
 def pack(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     """``(container_kind, capacity_tokens, container_id, doc_id, part, token_start, n_tokens)``: all items of ``sizes``
     (``doc_id`` unique, ``n_tokens``) assigned to containers of every kind in ``containers`` (``container_kind``,
-    ``capacity_tokens``; a handful of rows, repeated ones count once, ones without a positive capacity are left out).
+    ``capacity_tokens``; repeated rows count once, ones without a positive capacity are left out).
 
     A piece is only cut from an item longer than the capacity. An item of no tokens, or of unknown length, takes no room:
     it comes out once per kind with a null ``container_id``. Container ids count from 0 within a kind. Equal items are told
-    apart by ``doc_id``; the assignment is the same for the same input, in any row order. Other columns are ignored. The
-    driver receives the histogram (at most ``capacity`` rows a kind) and sends out the plan, never items.
+    apart by ``doc_id``; the assignment is the same for the same input, in any row order. Other columns are ignored. Nothing
+    reaches the driver; a task plans one kind on its histogram, at most ``capacity`` rows.
     """
-    spark = sizes.sparkSession
-    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).filter("container_kind is not null and capacity_tokens > 0").distinct().orderBy("container_kind", "capacity_tokens").limit(1_000)
-    rows = kinds.collect()
-    if any(r.capacity_tokens > LARGEST for r in rows):
-        raise ValueError(f"a capacity above {LARGEST}")
-    kinds = spark.createDataFrame([tuple(r) for r in rows], "container_kind string, capacity_tokens bigint")
+    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).filter("container_kind is not null and capacity_tokens > 0").distinct()
+    kinds = settled(kinds)
+    shipped(sizes.sparkSession)
     sizes = sizes.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"))
     items = pieces(sizes, kinds)
     key = ["container_kind", "capacity_tokens"]
-    histograms: dict[tuple, dict[int, int]] = defaultdict(dict)
-    for r in items.groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n")).collect():  # at most capacity rows a kind
-        histograms[r.container_kind, r.capacity_tokens][r.size] = r.n
-    steps = [(*kind, *p) for kind, h in sorted(histograms.items()) for p in plan(h, kind[1])[0]]
-    table = F.broadcast(spark.createDataFrame(steps, "container_kind string, capacity_tokens bigint, size bigint, first bigint, last bigint, container bigint, each bigint"))
-    ranked = _ranked(items, [*key, "size"], histograms)
-    there = ranked.join(table, [*key, "size"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    histogram = settled(items.groupBy(*key, "size").agg(F.count(F.lit(1)).alias("n")))
+
+    def planned(part: pd.DataFrame) -> pd.DataFrame:
+        kind, capacity = part.container_kind.iloc[0], int(part.capacity_tokens.iloc[0])
+        steps, _ = plan(dict(zip(part["size"].tolist(), part["n"].tolist(), strict=True)), capacity)
+        out = pd.DataFrame(steps, columns=Placement._fields)
+        out.insert(0, "capacity_tokens", capacity)
+        out.insert(0, "container_kind", kind)
+        return out
+
+    steps = settled(histogram.groupBy(*key).applyInPandas(planned, "container_kind string, capacity_tokens bigint, size bigint, first bigint, last bigint, container bigint, each bigint"))
+    ranked = _ranked(items, [*key, "size"], histogram)
+    there = ranked.join(small(steps), [*key, "size"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     placed = there.select(*key, (F.col("container") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).alias("container_id"), "doc_id", "part", F.col("start").alias("token_start"), F.col("size").alias("n_tokens"))
-    none = sizes.filter(F.coalesce(F.col("n_tokens"), F.lit(0)) <= 0).join(F.broadcast(kinds), F.lit(True))
+    none = sizes.filter(F.coalesce(F.col("n_tokens"), F.lit(0)) <= 0).join(small(kinds), F.lit(True))
     nothing = none.select(*key, F.lit(None).cast("long").alias("container_id"), "doc_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("token_start"), F.lit(0).cast("long").alias("n_tokens"))
     return placed.unionByName(nothing)
 
 
-def _ranked(items: DataFrame, keys: list[str], histograms: Mapping[tuple, Mapping[int, int]]) -> DataFrame:
+def _ranked(items: DataFrame, keys: list[str], histogram: DataFrame) -> DataFrame:
     """``rank`` from 0 within ``keys`` by (doc_id, part) inside parts; a size with many items is ranked in parts, whose
-    offsets are running sums of their counts."""
-    hot = [(*kind, size, -(-n // RANKED_PER_TASK)) for kind, h in histograms.items() for size, n in h.items() if n > RANKED_PER_TASK]
-    table = F.broadcast(items.sparkSession.createDataFrame(hot, "container_kind string, capacity_tokens bigint, size bigint, splits bigint"))  # within the histogram
-    items = items.join(table, keys, "left").withColumn("split", F.when(F.col("splits").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "part"), F.col("splits")))).drop("splits")
+    offsets are running sums of their counts. The histogram is a written table."""
+    hot = small(histogram.filter(F.col("n") > RANKED_PER_TASK).select(*keys, F.ceil(F.col("n") / RANKED_PER_TASK).alias("splits")))
+    items = items.join(hot, keys, "left").withColumn("split", F.when(F.col("splits").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "part"), F.col("splits"))))
     local = items.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "split").orderBy("doc_id", "part")).cast("long") - 1)
-    if not hot:
-        return local.drop("split")
-    counts = items.join(table, keys, "left_semi").groupBy(*keys, "split").agg(F.count(F.lit(1)).alias("n"))
+    counts = items.filter(F.col("splits").isNotNull()).groupBy(*keys, "split").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*keys).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    return local.join(offsets, [*keys, "split"], "left").withColumn("rank", F.col("rank") + F.coalesce("offset", F.lit(0))).drop("split", "offset")
+    if histogram.filter(F.col("n") > RANKED_PER_TASK).isEmpty():
+        return local.drop("split", "splits")
+    return local.join(small(settled(offsets)), [*keys, "split"], "left").withColumn("rank", F.col("rank") + F.coalesce("offset", F.lit(0))).drop("split", "splits", "offset")
 
 
 def pack_documents(docs: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

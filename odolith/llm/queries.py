@@ -61,8 +61,12 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.coverage(table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.classes(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (p1_found, p1_ranked, p4_found, p4_report, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_coverage)}
+    return {q.__name__: q for q in (p1_found, p1_ranked, p4_found, p4_report, p6_packed, p6_fill, p7_mixed, p7_shares, p8_found, p8_coverage, p8_classes)}
 
 
 _RANKED = """

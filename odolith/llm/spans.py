@@ -22,6 +22,10 @@ from .tokens import texts
 
 #: Length in code points from which a shared stretch counts.
 MIN_SPAN = 300
+#: The list of texts to read again is broadcast up to this size; beyond it, these texts are shuffled to it.
+LIST_BYTES = BROADCAST_BYTES // 4
+#: Texts of one class that one task pairs with as many others.
+TEXTS_PER_PART = 2_000
 _U = np.uint64
 
 
@@ -83,7 +87,7 @@ def occurrences(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """``(doc_id, seq, pos, kmer)`` of all kept k-mers: about ``4 / min_span`` a code point. One Arrow pass, no shuffle."""
     shipped(docs.sparkSession)
     k = min_span // 2
-    w = min_span - k + 1
+    w = min_span - k  # no gap between kept k-mers is longer than a k-mer, so they cover the text between them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +182,7 @@ def cores(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 
     wanted = settled(_requests(paths))
     # only texts with nodes are read on; a shuffle of all texts is avoided where the list of them is measured to be short
-    few = plan_bytes(wanted) <= BROADCAST_BYTES // 4
+    few = plan_bytes(wanted) <= LIST_BYTES
     source = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     met = source.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "paths")
     return settled(met.mapInArrow(run, "doc_id bigint, start int, length int, content binary, left string, right string"))
@@ -223,12 +227,30 @@ def shared_pairs(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """Distinct ``(doc_id_a, doc_id_b)``, smaller first, of texts with a stretch of at least ``min_span`` code points in common.
 
     Stretches that the same set of texts shares are one class, and pairs are formed once per class, so a passage costs its
-    pairs once, not once per position. All pairs of a class are true pairs: the work is that of the result.
+    pairs once, not once per position. All pairs of a class are true pairs: the work is that of the result. A class of many
+    texts is cut into parts, and each pair of parts is a task's work of its own. ``classes`` gives the same links in a row
+    per text.
     """
     member = settled(shared(docs, min_span).select("class", "doc_id").distinct())
-    a = member.select("class", F.col("doc_id").alias("doc_id_a"))
-    b = member.select("class", F.col("doc_id").alias("doc_id_b"))
-    return a.join(b, "class").filter("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+    parts = F.ceil(F.col("class.texts") / TEXTS_PER_PART).cast("int")
+    cut = member.select("class", "doc_id", parts.alias("parts"), F.pmod(F.xxhash64("doc_id", F.lit(3)), parts).cast("int").alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = cut.select("class", F.col("doc_id").alias("doc_id_a"), F.col("part").alias("pa"), every.alias("pb"))
+    b = cut.select("class", F.col("doc_id").alias("doc_id_b"), every.alias("pa"), F.col("part").alias("pb"))
+    return a.join(b, ["class", "pa", "pb"]).filter("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+
+
+def classes(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """``(doc_id, class_id, links, spans, chars)``: per text and class its links, the number of other texts of the class, and how
+    many stretches and code points of it (overlaps counted once a stretch) belong to the class.
+
+    Two texts are linked exactly if they have a class in common, so no link is lost and no pair is written. ``class_id`` names the
+    class by its least and greatest text, its number of texts and a digest of their ids.
+    """
+    hit = shared(docs, min_span).select("doc_id", "class", "start", "end").distinct()
+    ident = F.concat_ws("-", "class.lo", "class.hi", "class.texts", F.lower(F.hex("class.x")))
+    per = hit.groupBy("doc_id", "class").agg(F.count(F.lit(1)).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+    return per.select("doc_id", ident.alias("class_id"), (F.col("class.texts") - 1).alias("links"), "spans", F.col("chars").cast("long").alias("chars"))
 
 
 def coverage(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:

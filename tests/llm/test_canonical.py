@@ -31,7 +31,7 @@ def test_not_to_be_mapped(spark, tags):
 
 
 def test_short_names_allow_one_edit(spark, tags):
-    assert mapped(spark, tags, ["atb", "aym", "ATMS", "xyz", "policepost", "mail counter"], "amenity") == ["atm", "atm", "atm", "", "police", "post_office"]
+    assert mapped(spark, tags, ["atb", "aym", "ATMS", "amt", "tam", "xyz", "policepost", "mail counter"], "amenity") == ["atm"] * 5 + ["", "police", "post_office"]
 
 
 def test_repeats_and_empty_tables(spark, tags):
@@ -43,12 +43,14 @@ def test_repeats_and_empty_tables(spark, tags):
     assert [r.canonical for r in canonical.map_entries(canonical.unlisted(rows, "pois", "osm_id", "shop", none), none).collect()] == [""]
 
 
-@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
-def test_join_loses_no_pair(spark, threshold):
+@pytest.mark.parametrize(("threshold", "common"), [(0.2, 1), (0.2, 2), (0.5, 2), (0.8, 1), (0.8, 2), (1.0, None)])
+def test_join_loses_no_pair(spark, threshold, common, monkeypatch):
+    monkeypatch.setattr(canonical, "ROWS_PER_TOKEN", 10)
     r = random.Random(2)
     sets = [sorted(set(r.choices("abcdefghij", weights=range(1, 11), k=r.randint(1, 7)))) for _ in range(80)] + [[]]
     df = spark.createDataFrame([("p", str(i), s) for i, s in enumerate(sets)], "part string, id string, tokens array<string>")
-    got = {(x.left_id, x.right_id): x.jaccard for x in canonical.similarity_join(df, df, threshold).collect()}
+    got = {(x.left_id, x.right_id): x.jaccard for x in canonical.similarity_join(df, df, threshold, common=common).collect()}
+    assert canonical.similarity_join(df, df, threshold, common=common).count() == len(got)
     want = {}
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
@@ -57,6 +59,13 @@ def test_join_loses_no_pair(spark, threshold):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_more_than_a_thousand_fields(spark):
+    reference = spark.range(1_001).select(F.format_string("field%04d", "id").alias("tag_key"), F.lit("bakery").alias("tag_value"), F.lit(None).cast("string").alias("label"))
+    values = reference.select(F.col("tag_key").alias("field"), F.concat("tag_key", F.lit("=bakrey")).alias("entry"))
+    got = canonical.canonicalize(values, reference)
+    assert got.filter("canonical = 'bakery'").count() == 1_001
+
+
 def test_folding(spark):
     got = spark.createDataFrame([("  Ünïcode—ТЕST ",), (None,), ("highway = Primary (old)",), ("(old)",)], "v string").select(canonical.plain(F.col("v"), "highway")).collect()
     assert [r[0] for r in got] == ["unicode test", None, "primary", "old"]

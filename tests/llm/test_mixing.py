@@ -59,6 +59,19 @@ def test_sharded_sources(spark, monkeypatch):
     assert report["big"] == pytest.approx(0.3, abs=0.02) and report["mid"] == pytest.approx(0.7, abs=0.02)
 
 
+def test_ten_thousand_and_one_sources(spark):
+    df = spark.range(20_002).selectExpr("id as doc_id", "concat('s', id % 10001) as source", "10L as n_tokens")
+    targets = spark.range(10_001).selectExpr("concat('s', id) as source", "1.0 / 10001 as target_share", "1 as max_repeats", "0 as n_tokens")
+    assert mixing.mix(df, targets).select("source").distinct().count() == 10_001
+
+
+def test_largest_total_with_exact_shares(spark):
+    df = spark.createDataFrame([(i, "a" if i < 10 else "b", 10) for i in range(110)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2, 0), ("b", 0.3, 1, 0), ("gone", 0.2, 1, 0)], TARGETS)
+    report = mixing.mix_report(mixing.mix(df, targets), df, targets).collect()
+    assert {r.exact_total for r in report} == {int(min(200 / 0.5, 1000 / 0.3) * 0.8)}
+
+
 def test_empty_and_odd_inputs(spark):
     df, _ = sizes(spark, 20)
     targets = spark.createDataFrame([("big", 1.0, 1, 0), ("BIG", 0.5, 1, 0), ("", 0.5, 1, 0), (None, 0.5, 1, 0), ("mid", math.nan, 1, 0)], TARGETS)

@@ -93,3 +93,11 @@ def test_documents_and_report(spark):
     check(got.collect(), want, 64)
     r = packing.fill_report(got).first()
     assert r.tokens == sum(want.values()) and r.containers >= r.least_containers and 0.9 < r.fill <= 1
+
+
+def test_more_kinds_than_a_thousand_and_a_capacity_beyond_all_items(spark):
+    items = spark.createDataFrame([(1, 3), (2, 4)], "doc_id long, n_tokens long")
+    kinds = spark.range(1_001).selectExpr("concat('k', id) as container_kind", "7 as capacity_tokens", "0 as n_tokens")
+    kinds = kinds.unionByName(spark.createDataFrame([("huge", 2_000_000_000, 0)], KINDS))
+    got = packing.pack(items, kinds)
+    assert got.count() == 2 * 1_002 and got.filter("container_id = 0").count() == 2 * 1_002

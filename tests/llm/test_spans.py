@@ -56,6 +56,40 @@ def test_pairs_and_coverage_against_brute_force(spark, seed):
     assert got[201].n_chars is None and got[206].shared_share == 1 and got[206].spans == 1
 
 
+def test_shuffled_list_of_texts_and_parts_of_classes(spark, monkeypatch):
+    """The plans for long lists and large classes give the same result."""
+    docs = corpus(3)
+    pairs, cover = truth(docs, SPAN)
+    monkeypatch.setattr(spans, "LIST_BYTES", -1)
+    monkeypatch.setattr(spans, "TEXTS_PER_PART", 3)
+    df = frame(spark, docs)
+    got = spans.shared_pairs(df, SPAN)
+    assert {tuple(r) for r in got.collect()} == pairs and got.count() == len(pairs)
+    assert {r.doc_id: r.shared_chars for r in spans.coverage(df, SPAN).collect()} == cover
+
+
+def test_classes_hold_every_link(spark):
+    docs = corpus(1)
+    pairs, _ = truth(docs, SPAN)
+    rows = spans.classes(frame(spark, docs), SPAN).collect()
+    member = {}
+    for r in rows:
+        member.setdefault(r.class_id, []).append(r.doc_id)
+        assert r.links >= 1 and r.spans >= 1 and r.chars >= SPAN
+    assert {(a, b) for m in member.values() for a in m for b in m if a < b} == pairs
+    assert all(len(m) == len(set(m)) for m in member.values()) and all(r.links == len(member[r.class_id]) - 1 for r in rows)
+
+
+def test_an_edit_between_two_nodes_of_a_path_is_seen(spark):
+    """Texts that differ in one code point only: whatever lies between the kept k-mers, coverage is exact."""
+    r = random.Random(11)
+    base = "".join(r.choices("abcdefgh", k=700))
+    docs = {i: base[:at] + "#" + base[at + 1 :] for i, at in enumerate(range(100, 600, 25))}
+    pairs, cover = truth(docs, SPAN)
+    assert {tuple(x) for x in spans.shared_pairs(frame(spark, docs), SPAN).collect()} == pairs
+    assert {x.doc_id: x.shared_chars for x in spans.coverage(frame(spark, docs), SPAN).collect()} == cover
+
+
 def test_empty_tables_and_null_ids(spark):
     df = frame(spark, {})
     assert spans.shared_pairs(df, SPAN).count() == 0 and spans.coverage(df, SPAN).count() == 0

@@ -105,6 +105,43 @@ def _area(rings: Column) -> Column:
     return F.aggregate(_turned(rings), F.lit(0.0), lambda a, t: a + t["sign"] * F.aggregate(t["edges"], F.lit(0.0), lambda b, s: b + cross(s))) / 2
 
 
+def _clipped(points: Column, e: Column) -> Column:
+    """A closed ring (first position not repeated) cut by the half-plane left of the edge ``e``; may run along the cut twice."""
+    side = lambda p: (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) - (e["y2"] - e["y1"]) * (p["x"] - e["x1"])
+
+    def step(p: Column, i: Column) -> Column:
+        q = F.coalesce(F.get(points, i + 1), F.get(points, F.lit(0)))
+        a, b = side(p), side(q)
+        t = a / F.when(a != b, a - b)
+        cut = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+        none = F.slice(points, 1, 0)
+        own = F.when(a >= 0, F.array(p)).otherwise(none)
+        return F.concat(own, F.when(((a > 0) & (b < 0)) | ((a < 0) & (b > 0)), F.array(cut)).otherwise(none))
+
+    return F.flatten(F.transform(points, step))
+
+
+def _shoelace(points: Column) -> Column:
+    """Signed area of a ring."""
+    o = F.try_element_at(points, F.lit(1))
+    cross = lambda a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (b["x"] - o["x"]) * (a["y"] - o["y"])
+    each = F.transform(points, lambda p, i: cross(p, F.coalesce(F.get(points, i + 1), o)))
+    return F.aggregate(each, F.lit(0.0), lambda a, v: a + v) / 2
+
+
+def area_within(rings: Column | str, convex: Column | str) -> Column:
+    """Area that lies both inside the rings and inside a convex ring (either direction, closed or not): every ring is cut by
+    one half-plane after the other; holes count negative. 0 for an empty geometry, null for a null one."""
+    def of(pair: Column) -> Column:
+        ring = pair["c"]
+        turned = F.when(_shoelace(ring) < 0, F.reverse(ring)).otherwise(ring)
+        cuts = ring_edges(F.array(turned))
+        one = lambda t: t["sign"] * _shoelace(F.aggregate(cuts, F.transform(t["edges"], lambda s: F.struct(s["x1"].alias("x"), s["y1"].alias("y"))), lambda acc, e: F.when((e["x1"] == e["x2"]) & (e["y1"] == e["y2"]), acc).otherwise(_clipped(acc, e))))
+        return F.aggregate(F.transform(_turned(pair["r"]), one), F.lit(0.0), lambda a, v: a + v)
+
+    return F.when(col(rings).isNotNull(), once(F.struct(col(rings).alias("r"), col(convex).alias("c")), of))
+
+
 def centroid(rings: Column | str) -> Column:
     """Area centroid ``struct<x,y>`` of the rings; the mean of the positions where the area is zero; null for none."""
     return once(col(rings), _centroid)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,6 +79,41 @@ def collapse_by_rank(tags: Column | str) -> Column:
     return F.array_max(ranked)["tag"]
 
 
+# Street classes that are good to cycle on by themselves.
+QUIET = ("cycleway", "footway", "pedestrian", "path", "living_street")
+
+
+def road_class(tag: Column | str, classes: Mapping[str, float], default: float = 3.0) -> Column:
+    """A class of one's own per street tag; ``default`` for others. Of a list the first counts, see ``first_of``."""
+    pairs = [F.lit(x) for k, v in classes.items() for x in (k, float(v))]
+    found = F.try_element_at(F.create_map(*pairs), col(tag)) if pairs else F.lit(None).cast("double")
+    return F.coalesce(found, F.lit(float(default)))
+
+
+def highway_tier(tag: Column | str) -> Column:
+    """``highway`` (rank 6 and more), ``main`` (3 to 5) or ``local``."""
+    r = highway_rank(tag)
+    return F.when(r >= 6, "highway").when(r >= 3, "main").otherwise("local")
+
+
+def first_of(values: Column | str) -> Column:
+    """The first entry of a list, null for an empty one."""
+    return F.try_element_at(col(values), F.lit(1))
+
+
+def bike_score(tag: Column | str, *, bicycle: Column | None = None, cycleway: Column | None = None) -> Column:
+    """1 (busy) to 5 (quiet): 5 on quiet classes and designated ways, 4 on unranked streets, else by rank, the busier the less,
+    plus 2 beside a cycle track and 1 beside any other cycleway entry, at most 5."""
+    r = highway_rank(tag)
+    side = F.lit(None).cast("string") if cycleway is None else cycleway
+    bonus = F.when(side.isin("track", "opposite_track"), 2).when(side.isNotNull() & (side != ""), 1).otherwise(0)
+    quiet = F.coalesce(col(tag).isin(*QUIET), F.lit(False))
+    if bicycle is not None:
+        quiet = quiet | F.coalesce(bicycle == "designated", F.lit(False))
+    base = F.greatest(F.lit(1), F.least(F.lit(5), 6 - r))
+    return F.when(quiet, 5.0).when(r < 0, 4.0).otherwise(F.least(F.lit(5), base + bonus).cast("double"))
+
+
 def mean_numeric(values: Column | str) -> Column:
     """Mean of the entries that read as numbers, as text; the first entry where none does."""
     values = col(values)

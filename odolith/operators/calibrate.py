@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import INF, DataError, finite, known, require
-from ..session import settled
+from ..schema import INF, DataError, finite, known, require, total
+from ..session import release, settled
 from .mapping import nearest
 from .routing import collapse, trip_metrics
 
@@ -120,13 +120,40 @@ def least_squares(df: DataFrame, y: str, xs: Sequence[str]) -> Fit:
     return Fit(list(xs), beta, p, 1 - rss / tss if tss > 0 else math.nan, n)
 
 
+def with_endpoints(routed: DataFrame, legs: DataFrame, nodes: DataFrame, features: Sequence[str], *, node: str = "node_id") -> DataFrame:
+    """``routed`` trips with ``<feature>_orig`` and ``<feature>_dest``, node columns at either end of the leg, null for an unknown
+    node. ``snap_dist`` is the distance from the leg's end to its node, which the legs have."""
+    at_node = [f for f in features if f != "snap_dist"]
+    ends = legs.select("trip_id", "origin", "dest", *[F.col(c).alias(a) for c, a in (("origin_snap", "snap_dist_orig"), ("dest_snap", "snap_dist_dest")) if "snap_dist" in features])
+    if at_node:
+        table = nodes.filter(F.col(node).isNotNull()).groupBy(F.col(node).alias("__n")).agg(*[F.max(F.col(f).cast("double")).alias(f) for f in at_node])
+        for end, tag in (("origin", "orig"), ("dest", "dest")):
+            ends = ends.join(table.select(F.col("__n").alias(end), *[F.col(f).alias(f"{f}_{tag}") for f in at_node]), end, "left")
+    return routed.join(ends.drop("origin", "dest"), "trip_id", "left")
+
+
+def design(routed: DataFrame, factors: Sequence[str] = (), sums: Sequence[str] = (), endpoints: Sequence[str] = (), *, constant: bool = True, keep: Sequence[str] = ("trip_id",)) -> tuple[DataFrame, list[str]]:
+    """The design matrix and its column names: ``const``, ``baseline_time`` (the trip's cost), ``<f>__mult`` (cost times the factor's
+    mean along the path), the sums along the path, and for each endpoint feature ``<f>_orig`` and ``<f>_dest``."""
+    columns = {"const": F.lit(1.0)} if constant else {}
+    columns["baseline_time"] = F.col("cost").cast("double")
+    columns |= {f"{f}__mult": (F.col("cost") * F.col(f)).cast("double") for f in factors}
+    columns |= {f: F.col(f).cast("double") for f in sums}
+    columns |= {f"{f}_{tag}": F.col(f"{f}_{tag}").cast("double") for f in endpoints for tag in ("orig", "dest")}
+    return routed.select(*keep, *[c.alias(n) for n, c in columns.items()]), list(columns)
+
+
 @dataclass
 class Calibration:
-    """Edge-weight coefficients with statistics, fitted edges, per-trip predictions and the log of the iterations."""
+    """Edge-weight coefficients with statistics, fitted edges, per-trip predictions and the log of the iterations.
+
+    ``endpoints`` are the means of the coefficients of either end.
+    """
 
     alpha: float
     factors: dict[str, float]
     sums: dict[str, float]
+    endpoints: dict[str, float]
     constant: float
     fit: Fit
     edges: DataFrame
@@ -134,34 +161,45 @@ class Calibration:
     log: list[dict[str, float]]
 
 
-def calibrate(edges: DataFrame, nodes: DataFrame, legs: DataFrame, *, factors: Sequence[str] = (), sums: Sequence[str] = (), iterations: int = 3, speed: str = "speed_kph", cutoff: float = INF, oneway: str | None = None, directed: bool = True, **snapping: float) -> Calibration:
-    """Fit ``time = constant + alpha * baseline + cost-weighted factors + sums`` to measured trips, reroute with the new weights,
-    and again. The driver holds coefficients only; the snapped legs are written once."""
-    base = edges.withColumn("__base", baseline_duration(speed))
-    base = settled(base)
-    trips = settled(usable_legs(legs, nodes, **snapping))
-    alpha, f, s, constant, fit, log = 1.0, dict.fromkeys(factors, 0.0), dict.fromkeys(sums, 0.0), 0.0, None, []
-    zero = lambda n: F.coalesce(known(F.col(n).cast("double")), F.lit(0.0))
-    routed = None
+def calibrate(edges: DataFrame, nodes: DataFrame, legs: DataFrame, *, factors: Sequence[str] | Mapping[str, float] = (), sums: Sequence[str] | Mapping[str, float] = (), endpoints: Sequence[str] = (), constant: bool = True, iterations: int = 3, speed: str = "speed_kph", cutoff: float = INF, oneway: str | None = None, directed: bool = True, node: str = "node_id", of: str = "cost", **snapping: float) -> Calibration:
+    """Fit ``time = constant + alpha * cost + factors of the cost + sums + endpoint terms`` to measured trips, reroute with the
+    new weights, and again.
+
+    ``factors`` scale an edge's baseline duration and enter as cost times their length-weighted mean along the path, ``sums`` are
+    added up along it, ``endpoints`` are node columns, or ``snap_dist``, at either end; mappings give first coefficients. ``of`` tells
+    what ``baseline_time`` is after the first round: the trip's ``cost`` by the weights it was routed on, or its ``baseline`` duration,
+    with which coefficients of different rounds mean the same. The driver holds coefficients only; the snapped legs are written once. No usable leg is a DataError.
+    """
+    base = settled(edges.withColumn("__base", baseline_duration(speed)))
+    trips = settled(usable_legs(legs, nodes, node=node, **snapping))
+    if trips.isEmpty():
+        raise DataError("no usable leg")
+    if of not in ("cost", "baseline"):
+        raise ValueError("of must be cost or baseline")
+    start = lambda x: dict(x) if isinstance(x, Mapping) else dict.fromkeys(x, 0.0)
+    alpha, f, s, e, shift, fit, log, routed = 1.0, start(factors), start(sums), {}, 0.0, None, [], None
+    attributes = list(dict.fromkeys((*f, *s)))
     for i in range(iterations):
         weighted = base.withColumn("__w", durations(F.col("__base"), alpha, f, s))
-        for n in factors:
-            weighted = weighted.withColumn(f"__f_{n}", F.col("__base") * zero(n))
-        for n in sums:
-            weighted = weighted.withColumn(f"__s_{n}", zero(n))
-        parts = ["__base", *[f"__f_{n}" for n in factors], *[f"__s_{n}" for n in sums]]
-        graph = settled(collapse(weighted, "__w", ["length", *parts], oneway=oneway, directed=directed))
-        found = trip_metrics(trips, graph, features=dict.fromkeys(parts, "sum"), cutoff=cutoff)
-        routed = settled(found.join(trips.select("trip_id", F.col("time_measured").alias("y"), "line"), "trip_id").withColumn("const", F.lit(1.0)))
-        fit = least_squares(routed, "y", ["const", *parts])
-        constant, alpha = float(fit.coefficients[0]), float(fit.coefficients[1])
-        f = {n: float(c) for n, c in zip(factors, fit.coefficients[2:], strict=False)}
-        s = {n: float(c) for n, c in zip(sums, fit.coefficients[2 + len(factors) :], strict=True)}
-        log.append({"iteration": i, "r2": fit.r2, "n": fit.n, "alpha": alpha, "constant": constant, **f, **s})
-    predicted = sum((F.lit(float(c)) * F.col(n) for n, c in zip(fit.names, fit.coefficients, strict=True)), F.lit(0.0))
-    predictions = routed.select("trip_id", "line", F.col("y").alias("measured"), predicted.alias("predicted"))
+        graph = settled(collapse(weighted, "__w", list(dict.fromkeys(["length", "__base", *attributes])), oneway=oneway, directed=directed))
+        found = trip_metrics(trips, graph, features={**dict.fromkeys(f, "length_weighted"), **dict.fromkeys(s, "sum"), "__base": "sum"}, cutoff=cutoff)
+        if of == "baseline":
+            found = found.withColumn("cost", F.col("__base"))
+        found = with_endpoints(found, trips, nodes, endpoints, node=node).join(trips.select("trip_id", F.col("time_measured").alias("__y"), "line"), "trip_id")
+        x, names = design(found, list(f), list(s), endpoints, constant=constant, keep=("trip_id", "line", "__y"))
+        done = settled(x)
+        release(routed, graph)
+        routed = done
+        fit = least_squares(routed, "__y", names)
+        got = dict(zip(names, map(float, fit.coefficients), strict=True))
+        alpha, shift = got["baseline_time"], got.get("const", 0.0)
+        f, s = {n: got[f"{n}__mult"] for n in f}, {n: got[n] for n in s}
+        e = {n: (got[f"{n}_orig"] + got[f"{n}_dest"]) / 2 for n in endpoints}
+        log.append({"iteration": i, "r2": fit.r2, "n": fit.n, "alpha": alpha, "constant": shift, **f, **s, **e})
+    predicted = total(F.lit(0.0), *[F.lit(float(c)) * F.col(n) for n, c in zip(fit.names, fit.coefficients, strict=True)])
+    predictions = routed.select("trip_id", "line", F.col("__y").alias("measured"), predicted.alias("predicted"))
     out = base.withColumn("duration", durations(F.col("__base"), alpha, f, s)).drop("__base")
-    return Calibration(alpha, f, s, constant, fit, out, predictions, log)
+    return Calibration(alpha, f, s, e, shift, fit, out, predictions, log)
 
 
 def rmse_by_distance(predictions: DataFrame) -> DataFrame:

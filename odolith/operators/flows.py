@@ -18,17 +18,17 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def weighted_draws(rows: DataFrame, keys: Sequence[str], item: str, score: str, draws: DataFrame) -> DataFrame:
+def weighted_draws(rows: DataFrame, keys: Sequence[str], item: str, score: str, draws: DataFrame, *, order: Column | None = None) -> DataFrame:
     """``(keys, draw, item)``: for each draw ``(keys, draw, r)`` the first item whose running score reaches ``r`` times the total.
 
-    Items run in the order of their id within a key; undefined or non-positive scores cannot be drawn, a key without any
+    Items run in the order of a hash of their id within a key, or of ``order``, a number of at least 0, then of their id; undefined or non-positive scores cannot be drawn, a key without any
     gets no item. Inverse of the distribution by a range join on running totals, cut into blocks of the total so that
     draws meet only the items of their block.
     """
     keys = list(keys)
     ok = rows.filter(finite(score) & (F.col(score) > 0)).select(*keys, item, F.col(score).cast("double").alias("w"))
     # any fixed order will do: that of a hash spreads large groups evenly over the parts of the running total
-    place = F.pmod(F.xxhash64(item), F.lit(1 << 30)).cast("double")
+    place = F.pmod(F.xxhash64(item), F.lit(1 << 30)).cast("double") if order is None else order
     run = settled(running_total(ok, keys, place, [item], F.col("w")))
     whole = run.groupBy(*keys).agg(F.max("cum").alias("total"))
     blocks = 256.0

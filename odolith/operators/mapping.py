@@ -181,13 +181,14 @@ def points_to_lines(pts: DataFrame, line: DataFrame, radius: float, *, eligible:
     """``(left_id, right_id, distance, dist_along)``: the nearest line within ``radius`` that is eligible and acceptable, the
     smaller id of equals; null without one.
 
-    Lines have unique ids. ``eligible`` is a predicate on the line's columns (prefixed ``line_``) and the point's (prefixed ``left_``), ``accept`` may
+    Repeated lines count once. ``eligible`` is a predicate on the line's columns (prefixed ``line_``) and the point's (prefixed ``left_``), ``accept`` may
     also use ``distance``, ``dist_along`` and ``line_path``. A candidate that is not accepted gives way to the next nearest.
     """
     own = [c for c in line.columns if c not in ("id", "path")]
-    segs = line.select(F.col("id").alias("right_id"), *[F.col(c).alias(f"line_{c}") for c in own], F.posexplode(geo.segments(F.col("path"))).alias("seq", "s"))
+    segs = line.select(F.col("id").alias("right_id"), F.xxhash64("path", *own).alias("__line"), *[F.col(c).alias(f"line_{c}") for c in own], F.posexplode(geo.segments(F.col("path"))).alias("seq", "s"))
     # the length before each segment, so that no candidate carries the whole line
-    order = Window.partitionBy("right_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    segs = segs.dropDuplicates(["right_id", "__line", "seq"])  # repeated rows of a line
+    order = Window.partitionBy("right_id", "__line").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     long = geo.distance(F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2"))
     segs = segs.withColumn("before", F.coalesce(F.sum(long).over(order), F.lit(0.0)))
     met = near_segments(pts, segs, radius)
@@ -195,10 +196,10 @@ def points_to_lines(pts: DataFrame, line: DataFrame, radius: float, *, eligible:
         met = met.filter(eligible)
     one = met.withColumn("dist_along", F.col("before") + geo.along_segment(F.col("left_x"), F.col("left_y"), F.col("s")) * long)
     first = [F.first(c).alias(c) for c in one.columns if c.startswith(("left_", "line_")) and c != "left_id"] if accept is not None else []
-    per_line = one.groupBy("left_id", "right_id").agg(F.min(F.struct("distance", "dist_along")).alias("m"), *first)
+    per_line = one.groupBy("left_id", "right_id", "__line").agg(F.min(F.struct("distance", "dist_along")).alias("m"), *first)
     per_line = per_line.withColumn("distance", F.col("m.distance")).withColumn("dist_along", F.col("m.dist_along"))
     if accept is not None:
-        per_line = per_line.join(line.select(F.col("id").alias("right_id"), F.col("path").alias("line_path")), "right_id").filter(accept)
+        per_line = per_line.join(line.select(F.col("id").alias("right_id"), F.xxhash64("path", *own).alias("__line"), F.col("path").alias("line_path")).distinct(), ["right_id", "__line"]).filter(accept)
     best = per_line.groupBy("left_id").agg(F.min(F.struct("distance", "right_id", "dist_along")).alias("m"))
     return pts.select(F.col("id").alias("left_id")).join(best.select("left_id", "m.right_id", "m.distance", "m.dist_along"), "left_id", "left")
 

@@ -10,7 +10,7 @@ features along paths are defined.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -81,6 +81,16 @@ def with_combined(edges: DataFrame, sources: Sequence[str], name: str) -> DataFr
     return edges.withColumn(name, total(*[F.col(s) for s in sources]))
 
 
+def edge_time(*, speed: Column, length: Column | str = "length", slowed: Mapping[str, float] | None = None, added: Mapping[str, float] | None = None, least_kph: float = 1.0, most_kph: float | None = None) -> Column:
+    """Seconds to pass an edge: its length at ``speed * (1 + sum(c * column))`` of the ``slowed`` columns, no slower than ``least_kph``,
+    plus ``c * column`` of the ``added`` ones (climb, descent, junctions), in all no faster than ``most_kph``. An undefined column counts as 0."""
+    zero = lambda n: F.coalesce(known(F.col(n).cast("double")), F.lit(0.0))
+    length = F.col(length) if isinstance(length, str) else length
+    factor = total(F.lit(1.0), *[F.lit(float(c)) * zero(n) for n, c in (slowed or {}).items()])
+    out = total(length / (F.greatest(speed * factor, F.lit(float(least_kph))) / 3.6), *[F.lit(float(c)) * zero(n) for n, c in (added or {}).items()])
+    return out if most_kph is None else F.greatest(out, length / (most_kph / 3.6))
+
+
 def collapse(edges: DataFrame, weight: str, attributes: Sequence[str] = (), *, directed: bool = True, oneway: str | None = None) -> DataFrame:
     """One edge ``(u, v, weight, k, attributes)`` per node pair and direction: of parallel ones the lightest, then the smallest ``k``.
 

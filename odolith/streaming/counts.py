@@ -14,6 +14,8 @@ def read(spark: SparkSession, folder: str, schema: StructType, *, files_per_trig
 
 def windowed(events: DataFrame, *, at: str = "ts", by: str = "event_type", value: str = "value", every: str = "1 day", late: str = "2 days") -> DataFrame:
     """``(window_start, by, n, total)`` per tumbling window; events later than the watermark are dropped by a stream, and only by it."""
+    if events.isStreaming and dict(events.dtypes)[at] == "timestamp_ntz":  # a watermark needs a point in time: of the session's zone
+        events = events.withColumn(at, F.col(at).cast("timestamp"))
     marked = events.withWatermark(at, late) if events.isStreaming else events
     per = marked.groupBy(F.window(at, every).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
     return per.select(F.col("w.start").alias("window_start"), by, "n", "total")

@@ -147,7 +147,7 @@ def test_calibration_recovers_planted_coefficients(spark):
         time = sum(10 * (1 + 5 * slow[i]) for i in range(a, b)) + r.gauss(0, 3)
         legs.append((t, 100.0 * a, 0.0, 100.0 * b, 1.0, time))
     legs = spark.createDataFrame(legs, "trip_id long, orig_x double, orig_y double, dest_x double, dest_y double, time_measured double")
-    got = calibrate.calibrate(edges, nodes, legs, factors=["slow"], iterations=2, max_snap=50.0)
+    got = calibrate.calibrate(edges, nodes, legs, factors=["slow"], iterations=2, max_snap=50.0, of="baseline")
     assert got.alpha == pytest.approx(1, abs=0.1) and got.factors["slow"] == pytest.approx(5, abs=0.5) and got.fit.r2 > 0.99
     assert calibrate.rmse_by_distance(got.predictions).filter("n > 0").count() == 1 and len(got.log) == 2
     assert got.edges.agg(F.min("duration")).first()[0] > 0

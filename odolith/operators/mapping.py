@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..schema import INF, DataError, finite, union_all
 from ..session import release, settled
-from .proximity import crowded, edges_of, gridded, inside, points, regions, within_distance
+from .proximity import crowded, crowds, edges_of, gridded, inside, points, regions, within_distance
 
 
 #: Halvings of the whole extent that are tried for the spacing of points.
@@ -105,7 +105,8 @@ def near_segments(pts: DataFrame, segs: DataFrame, radius: float) -> DataFrame:
     columns, ``distance``. ``segs`` has ``right_id`` and ``s`` (``x1, y1, x2, y2``) and further columns of its own."""
     size = 2.0 * radius
     a = gridded(pts.select(*[F.col(c).alias(f"left_{c}") for c in pts.columns], "x", "y"), size).drop("x", "y")
-    a, b = crowded(a, _pieces(segs, size, radius), ["gx", "gy"], "left_id", "right_id")
+    b = _pieces(segs, size, radius)
+    a, b = crowded(a, b, ["gx", "gy"], "left_id", "right_id", crowds(a, ["gx", "gy"], "sl").unionByName(crowds(b, ["gx", "gy"], "sr")))
     d = geo.segment_distance(F.col("left_x"), F.col("left_y"), F.col("s"))
     return a.join(b, ["gx", "gy", "salt"]).withColumn("distance", d).filter(d <= radius).drop("gx", "gy", "salt")
 
@@ -119,7 +120,9 @@ def _rings_out(segs: DataFrame, pts: DataFrame, of: str, other: str, max_distanc
     best: list[DataFrame] = []
     if not segs.isEmpty() and not todo.isEmpty():
         wide = max(box[1] - box[0], box[3] - box[2], 1.0)
-        radius, last = spacing(todo if of == "right_id" else ends)[0], min(max_distance, 2.0 * wide)
+        # not so narrow that segments fall into many pieces: on average two
+        long = segs.agg(F.avg(geo.distance(F.col("s.x1"), F.col("s.y1"), F.col("s.x2"), F.col("s.y2")))).first()[0]
+        radius, last = max(spacing(todo if of == "right_id" else ends)[0], long / 4), min(max_distance, 2.0 * wide)
         while last > 0:
             radius = min(radius, last)
             hit = near_segments(todo, segs, radius).groupBy(F.col(of).alias("one")).agg(F.min(F.struct("distance", F.col(other).alias("other"))).alias("m"))

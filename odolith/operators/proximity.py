@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..schema import finite
+from ..session import settled
 from .skew import hot_slots, slot
 
 #: Points of one grid cell that one task compares before the cell is split.
@@ -43,15 +44,28 @@ def spread(df: DataFrame, size: float, radius: float) -> DataFrame:
     return df.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
 
 
-def crowded(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> tuple[DataFrame, DataFrame]:
+def crowds(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``(slot, sl, sr)`` of the grid cells with more than POINTS_PER_SPLIT rows, with the parts to cut them into as ``name``."""
+    hot = hot_slots(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n", POINTS_PER_SPLIT)
+    return hot.select("slot", *[(F.col("splits") if c == name else F.lit(1)).alias(c) for c in ("sl", "sr")])
+
+
+def crowds_around(df: DataFrame) -> DataFrame:
+    """``crowds`` of the right side of a distance join, from points in their own cells only: a crowd is met in its cell and the
+    eight around it, and a cell that is met by more than POINTS_PER_SPLIT points has a ninth of them in one of these nine."""
+    own = df.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > POINTS_PER_SPLIT / 9)
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    around = own.withColumn("i", step).withColumn("j", step).select((F.col("gx") + F.col("i")).alias("gx"), (F.col("gy") + F.col("j")).alias("gy"), "n")
+    met = around.groupBy("gx", "gy").agg(F.sum("n").alias("n"))
+    return hot_slots(met, ["gx", "gy"], "n", POINTS_PER_SPLIT).select("slot", F.lit(1).alias("sl"), F.col("splits").alias("sr"))
+
+
+def crowded(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with a ``salt``: the rows of a crowded grid cell are cut into parts on either side, and every part of the one
-    side meets every part of the other in a task of its own, so no task compares more than POINTS_PER_SPLIT with as many.
+    side meets every part of the other in a task of its own, so no task compares more than about POINTS_PER_SPLIT with as many.
 
-    Crowded cells are told by counts, per slot of the cell's hash, so their table is bounded and covers all of them.
+    ``hot`` has the crowded cells of both sides, by slots of the cell's hash, so it is bounded and covers all of them.
     """
-    n = lambda df: hot_slots(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n", POINTS_PER_SPLIT)
-    one = F.lit(1)
-    hot = n(left).select("slot", F.col("splits").alias("sl"), one.alias("sr")).unionByName(n(right).select("slot", one.alias("sl"), F.col("splits").alias("sr")))
     hot = F.broadcast(hot.groupBy("slot").agg(F.max("sl").alias("sl"), F.max("sr").alias("sr")))
     part = lambda ident, k: F.when(F.col("sl").isNull(), 0).otherwise(F.pmod(F.xxhash64(ident), F.col(k)).cast("int"))
     every = lambda k: F.sequence(F.lit(0), F.coalesce(F.col(k), F.lit(1)) - 1)
@@ -73,7 +87,8 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, *, strict:
     size = CELL * radius
     a = gridded(left.select(*[F.col(c).alias(f"left_{c}") for c in left.columns], "x", "y"), size).drop("x", "y")
     b = spread(right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns], "x", "y"), size, radius).drop("x", "y")
-    a, b = crowded(a, b, ["gx", "gy"], "left_id", "right_id")
+    hot = crowds(gridded(left.select("x", "y"), size), ["gx", "gy"], "sl").unionByName(crowds_around(gridded(right.select("x", "y"), size)))
+    a, b = crowded(a, b, ["gx", "gy"], "left_id", "right_id", hot)
     d = exact(F.col("left_x"), F.col("left_y"), F.col("right_x"), F.col("right_y"))
     near = d < radius if strict else d <= radius
     return a.join(b, ["gx", "gy", "salt"]).withColumn("distance", d).filter(near).drop("gx", "gy", "salt")
@@ -106,14 +121,15 @@ def inside(pts: DataFrame, polys: DataFrame, smallest: float = 64.0) -> DataFram
     """
     b = polys.filter(F.col("box.x0").isNotNull() & F.col("box.y0").isNotNull()).select(F.col("id").alias("right_id"), "box").distinct()
     wide = F.greatest(F.col("box.x1") - F.col("box.x0"), F.col("box.y1") - F.col("box.y0"), F.lit(smallest))
-    b = b.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(wide / smallest))).cast("int"))
+    b = settled(b.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(wide / smallest))).cast("int")))  # geometries are parsed once for their boxes
     size = F.pow(F.lit(2.0), F.col("level")) * smallest
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
     levels = F.broadcast(b.select("level").distinct())  # integers from 0 to about 60
     b = b.withColumn("gx", F.explode(span("box.x0", "box.x1"))).withColumn("gy", F.explode(span("box.y0", "box.y1")))
     a = pts.withColumnRenamed("id", "left_id").crossJoin(levels)
     a = a.withColumn("gx", F.floor(F.col("x") / size)).withColumn("gy", F.floor(F.col("y") / size))
-    a, b = crowded(a, b, ["level", "gx", "gy"], "left_id", "right_id")
+    keys = ["level", "gx", "gy"]
+    a, b = crowded(a, b, keys, "left_id", "right_id", crowds(a, keys, "sl").unionByName(crowds(b, keys, "sr")))
     maybe = a.join(b, ["level", "gx", "gy", "salt"]).filter(F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1")))
     maybe = maybe.drop("level", "gx", "gy", "salt", "box")
     # one shuffle by id serves both the removal of repeated rows and the join; a region full of points is split by AQE

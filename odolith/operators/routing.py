@@ -132,9 +132,12 @@ def _names(edge_aggregations: Sequence[PathAggregation], node_aggregations: Sequ
     return names
 
 
-def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes: DataFrame | None = None, node: str = "node_id", edge_aggregations: Sequence[PathAggregation] = (), node_aggregations: Sequence[NodeAggregation] = (), paths: bool = False) -> DataFrame:
+def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes: DataFrame | None = None, node: str = "node_id", edge_aggregations: Sequence[PathAggregation] = (), node_aggregations: Sequence[NodeAggregation] = (), paths: bool = False, carry: str | None = None) -> DataFrame:
     """``(origin, dest, cost)`` of distinct requests ``(origin, dest)``, with a column per aggregation and, if asked, ``path``.
 
+    With ``carry``, a column of few values such as the tier, the requests ``(carry, origin, dest)`` are distinct and come out with
+    it, so that nothing has to be joined back to them.
+
     ``graph`` is a collapsed graph that fits. Unreachable or beyond the cutoff: cost ``+inf``, aggregations NaN, path empty. A
     node to itself costs 0 over an empty path, known to the graph or not. Undefined attribute values are skipped. Each
     origin is searched once for all its destinations; an origin has at most as many as the broadcast graph has nodes.
@@ -147,7 +150,8 @@ def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes:
     names = _names(edge_aggregations, node_aggregations)
     shared = spark.sparkContext.broadcast(_arrays(graph, edge_attrs, nodes if node_attrs else None, node, node_attrs))
     kind = requests.schema["origin"].dataType
-    schema = T.StructType([T.StructField("origin", kind), T.StructField("dest", kind), T.StructField("cost", T.DoubleType()), *[T.StructField(n, T.DoubleType()) for n in names], *([T.StructField("path", T.ArrayType(kind))] if paths else [])])
+    more = [T.StructField(carry, requests.schema[carry].dataType)] if carry else []
+    schema = T.StructType([*more, T.StructField("origin", kind), T.StructField("dest", kind), T.StructField("cost", T.DoubleType()), *[T.StructField(n, T.DoubleType()) for n in names], *([T.StructField("path", T.ArrayType(kind))] if paths else [])])
     of_edges = [(edge_attrs.index(a.attribute), a.how) for a in edge_aggregations]
     of_nodes = [(node_attrs.index(a.attribute), a.how, a.include_endpoints) for a in node_aggregations]
     detailed = bool(names) or paths
@@ -156,7 +160,9 @@ def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes:
         net = shared.value
         finder = kernel.Search(net, cutoff, detailed)
         for batch in batches:
-            every, offsets = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+            asked, offsets = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+            every = asked.field(0) if carry else asked
+            carried = asked.field(1) if carry else None
             origins = net.index(batch.column(0).to_numpy(zero_copy_only=False))
             dests = net.index(every.to_numpy(zero_copy_only=False))
             offsets = offsets - offsets[0]
@@ -173,7 +179,7 @@ def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes:
                 ask = np.flatnonzero(~own & (at >= 0) & (to >= 0))
                 ask = ask[net.part[at[ask]] == net.part[to[ask]]]
                 cost[ask] = finder.run(np.maximum(origins[lo:hi], 0), row[ask] - lo, to[ask])
-                columns = [origin, dest, pa.array(cost)]
+                columns = [*([carried.slice(a, b - a)] if carry else []), origin, dest, pa.array(cost)]
                 if detailed:
                     known = np.flatnonzero((cost < INF) & (at >= 0) & (to >= 0))
                     values, stops = _along(finder, row - lo, to, known, of_edges, of_nodes, paths, own & (at < 0))
@@ -183,7 +189,8 @@ def search(requests: DataFrame, graph: DataFrame, *, cutoff: float = INF, nodes:
                 finder.reset()
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    grouped = requests.filter("origin is not null and dest is not null").groupBy("origin").agg(F.collect_set("dest").alias("dests"))
+    here = requests.filter("origin is not null and dest is not null").groupBy("origin")
+    grouped = here.agg(F.collect_list(F.struct("dest", carry)) if carry else F.collect_set("dest"))
     return grouped.mapInArrow(run, schema)
 
 
@@ -332,9 +339,17 @@ def pairwise(graph: DataFrame, origins: DataFrame, destinations: DataFrame, *, c
     return costs(asked, graph, cutoff=cutoff)
 
 
+def _straight(pairs: DataFrame, graph: DataFrame, nodes: DataFrame | None, mask: str | None) -> bool:
+    """Whether pairs can go through the search with their tier and nothing else, one shuffle in all."""
+    return mask is None and sorted(pairs.columns) == ["dest", "origin", "tier"] and fits(graph, nodes)
+
+
 def tiered_costs(pairs: DataFrame, graph: DataFrame, *, mask: str | None = None, cutoff: float = INF) -> DataFrame:
-    """``pairs`` with ``cost``: ``+inf`` where masked out, unreachable or beyond the cutoff. Pairs of several tiers with the
-    same ends are searched once; masked pairs are not searched."""
+    """``pairs`` (distinct ``tier``, ``origin``, ``dest``) with ``cost``: ``+inf`` where masked out, unreachable or beyond the
+    cutoff. Each origin is searched once for all tiers; masked pairs are not searched."""
+    if _straight(pairs, graph, None, mask):
+        found = search(pairs, graph, cutoff=cutoff, carry="tier").select(*pairs.columns, "cost")
+        return found.unionByName(pairs.filter("origin is null or dest is null").withColumn("cost", F.lit(INF)))
     ask = pairs.filter(F.col(mask)) if mask else pairs
     found = costs(ask.select("origin", "dest").distinct(), graph, cutoff=cutoff)
     out = pairs.join(found, ["origin", "dest"], "left")
@@ -346,9 +361,13 @@ def tiered_aggregate(pairs: DataFrame, graph: DataFrame, *, nodes: DataFrame | N
     """``tiered_costs`` with the aggregations along each realised path; NaN where the cost is infinite."""
     if not edge_aggregations and not node_aggregations:
         raise ValueError("no aggregation given")
+    names = [a.name for a in (*edge_aggregations, *node_aggregations)]
+    if _straight(pairs, graph, nodes if node_aggregations else None, mask):
+        found = search(pairs, graph, cutoff=cutoff, nodes=nodes, node=node, edge_aggregations=edge_aggregations, node_aggregations=node_aggregations, carry="tier")
+        lost = pairs.filter("origin is null or dest is null").select("*", F.lit(INF).alias("cost"), *[F.lit(NAN).alias(n) for n in names])
+        return found.select(*pairs.columns, "cost", *names).unionByName(lost)
     ask = pairs.filter(F.col(mask)) if mask else pairs
     found = routes(ask.select("origin", "dest").distinct(), graph, cutoff=cutoff, nodes=nodes, node=node, edge_aggregations=edge_aggregations, node_aggregations=node_aggregations)
-    names = [a.name for a in (*edge_aggregations, *node_aggregations)]
     out = pairs.join(found, ["origin", "dest"], "left")
     on = F.coalesce(F.col(mask), F.lit(False)) if mask else F.lit(True)
     return out.select(*pairs.columns, F.when(on, F.coalesce("cost", F.lit(INF))).otherwise(INF).alias("cost"), *[F.when(on, F.coalesce(n, F.lit(NAN))).otherwise(NAN).alias(n) for n in names])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..schema import CELLS, NAN, ZONES, finite, known
+from ..schema import CELLS, NAN, ZONES, finite, known, union_all
 from .routing import costs as route_costs
 
 
@@ -59,11 +59,16 @@ def per_group_routed(cells: DataFrame, groups: DataFrame, graph: DataFrame, *, g
 def _add(od: DataFrame, tables: Sequence[tuple[str, Column, DataFrame | None]]) -> DataFrame:
     """Add looked-up overheads, each by a column of the pair where its condition holds; a key that a table lacks adds 0."""
     out = od
-    for i, (side, where, table) in enumerate(tables):
-        if table is None:
+    for side in ("origin", "dest"):  # one join a side: its tables become columns of one
+        mine = [(i, where, t) for i, (at, where, t) in enumerate(tables) if at == side and t is not None]
+        if not mine:
             continue
-        t = table.select(F.col(table.columns[0]).alias(side), F.col(table.columns[1]).cast("double").alias(f"__o{i}"))
-        out = out.join(t, side, "left").withColumn("cost", F.col("cost") + F.when(where, F.coalesce(f"__o{i}", F.lit(0.0))).otherwise(0.0)).drop(f"__o{i}")
+        long = union_all(*[t.select(F.col(t.columns[0]).alias(side), F.lit(i).alias("__i"), F.col(t.columns[1]).cast("double").alias("__o")) for i, _, t in mine])
+        table = long.groupBy(side).agg(*[F.max(F.when(F.col("__i") == i, F.col("__o"))).alias(f"__o{i}") for i, _, _ in mine])
+        out = out.join(table, side, "left")
+        for i, where, _ in mine:
+            out = out.withColumn("cost", F.col("cost") + F.when(where, F.coalesce(f"__o{i}", F.lit(0.0))).otherwise(0.0))
+        out = out.drop(*[f"__o{i}" for i, _, _ in mine])
     return out.select(od.columns)
 
 

@@ -70,3 +70,10 @@ def test_repeated_rows_and_clashing_names(spark):
 def test_heaps_are_built_before_the_shuffle(spark):
     plan = top_destinations(od(spark, [(1, 2, 3.0, 4.0, 0)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_collect_top_k") > plan.index("Exchange hashpartitioning(run_id")
+
+
+def test_the_plan_builds_bounded_heaps_before_the_shuffle(spark):
+    """The aggregate is internal to Spark: a version without it, or one that gathers whole groups, shows here."""
+    plan = top_n(spark.range(100).selectExpr("id % 3 as g", "id as v"), ["g"], [By(F.col("v"))], 2, keep=["v"])._jdf.queryExecution().executedPlan().toString()
+    partial, final = plan.rindex("partial_collect_top_k"), plan.index("collect_top_k(")
+    assert final < plan.index("Exchange hashpartitioning") < partial and "collect_list" not in plan and "Window" not in plan

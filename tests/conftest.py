@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.default.parallelism", "2")
+        # many small jobs: the first compiler will do
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

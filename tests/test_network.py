@@ -13,7 +13,7 @@ from odolith.streaming import counts
 def test_junctions_and_edge_aggregates(spark):
     e = spark.createDataFrame([(0, 1, 0, "primary", 5.0), (0, 2, 0, "residential", None), (0, 3, 0, "residential", 2.0), (0, 4, 0, "odd", math.nan), (4, 0, 1, "trunk", 1.0), (1, 2, 0, None, 3.0)], "u long, v long, k int, highway string, w double")
     got = {r.node: r for r in graph.junctions(e).collect()}
-    assert (got[0].degree, got[0].is_degree_4, got[0].is_degree_3, got[0].max_rank, got[0].min_rank) == (4, 1, 0, 6, -1)
+    assert (got[0].degree, got[0].is_degree_4, got[0].is_degree_3, got[0].max_highway_rank, got[0].min_highway_rank) == (4, 1, 0, 6, -1)
     assert {r.node: r.value for r in graph.edges_to_nodes(e, "w", "sum").collect()} == {0: 8, 1: 8, 2: 3, 3: 2, 4: 1}
     nodes = spark.createDataFrame([(0, 1.0), (1, 3.0)], "node_id long, s double")
     assert {(r.u, r.v, r.k): r.s for r in graph.nodes_to_edges(e, nodes, ["s"], "mean").collect()}[0, 1, 0] == 2

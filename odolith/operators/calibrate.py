@@ -91,32 +91,44 @@ def _beta_tail(t: float, dof: int) -> float:
     return 1.0 - front * fraction(b, a, 1.0 - x) / b
 
 
-def least_squares(df: DataFrame, y: str, xs: Sequence[str]) -> Fit:
+def least_squares(df: DataFrame, y: str, xs: Sequence[str], *, strict: bool = True) -> Fit:
     """Ordinary least squares without a constant of its own: one aggregation of all products, solved on the driver, which gets
-    one row whatever the data. Rows with an undefined value are left out; an ill-posed system is a DataError."""
+    one row whatever the data. Rows with an undefined value are left out; an ill-posed system is a DataError.
+
+    Without ``strict`` an ill-posed system has NaN for its coefficients, p-values and R², and as many rows as coefficients are
+    met exactly, which leaves the p-values NaN.
+    """
     names = [*xs, y]
     ok = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
     for i in range(len(names)):
         ok = ok.filter(finite(f"c{i}"))
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = ok.agg(F.count(F.lit(1)).alias("n"), F.avg(f"c{len(xs)}").alias("m"), *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    row = ok.agg(F.count(F.lit(1)).alias("n"), F.avg(f"c{len(xs)}").alias("m"), (F.min(f"c{len(xs)}") == F.max(f"c{len(xs)}")).alias("level"), *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
     k, n = len(xs), row.n
-    if n <= k:
-        raise DataError(f"{n} rows for {k} coefficients")
+    undetermined = Fit(list(xs), np.full(k, np.nan), np.full(k, np.nan), math.nan, n)
+    if n < k or strict and n == k:
+        if strict:
+            raise DataError(f"{n} rows for {k} coefficients")
+        return undetermined
     full = np.zeros((k + 1, k + 1))
     for i, j in pairs:
         full[i, j] = full[j, i] = row[f"s{i}_{j}"]
     a, b = full[:k, :k], full[:k, k]
     scale = np.sqrt(np.diag(a))
     if (scale == 0).any() or np.linalg.cond(a / np.outer(scale, scale)) > 1e12:
-        raise DataError("the regressors are not independent")
+        if strict:
+            raise DataError("the regressors are not independent")
+        return undetermined
     inverse = np.linalg.inv(a / np.outer(scale, scale)) / np.outer(scale, scale)
     beta = inverse @ b
     rss = max(0.0, full[k, k] - beta @ b)
-    tss = full[k, k] - n * row.m**2
-    se = np.sqrt(np.diag(inverse) * rss / (n - k))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.array([_beta_tail(float(t), n - k) for t in beta / se])
+    tss = 0.0 if row.level else full[k, k] - n * row.m**2
+    if n > k:
+        se = np.sqrt(np.diag(inverse) * rss / (n - k))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.array([_beta_tail(float(t), n - k) for t in beta / se])
+    else:
+        p = undetermined.p_values
     return Fit(list(xs), beta, p, 1 - rss / tss if tss > 0 else math.nan, n)
 
 
@@ -161,18 +173,20 @@ class Calibration:
     log: list[dict[str, float]]
 
 
-def calibrate(edges: DataFrame, nodes: DataFrame, legs: DataFrame, *, factors: Sequence[str] | Mapping[str, float] = (), sums: Sequence[str] | Mapping[str, float] = (), endpoints: Sequence[str] = (), constant: bool = True, iterations: int = 3, speed: str = "speed_kph", cutoff: float = INF, oneway: str | None = None, directed: bool = True, node: str = "node_id", of: str = "cost", **snapping: float) -> Calibration:
+def calibrate(edges: DataFrame, nodes: DataFrame, legs: DataFrame, *, factors: Sequence[str] | Mapping[str, float] = (), sums: Sequence[str] | Mapping[str, float] = (), endpoints: Sequence[str] = (), constant: bool = True, iterations: int = 3, speed: str = "speed_kph", cutoff: float = INF, oneway: str | None = None, directed: bool = True, node: str = "node_id", of: str = "cost", strict: bool = True, **snapping: float) -> Calibration:
     """Fit ``time = constant + alpha * cost + factors of the cost + sums + endpoint terms`` to measured trips, reroute with the
     new weights, and again.
 
     ``factors`` scale an edge's baseline duration and enter as cost times their length-weighted mean along the path, ``sums`` are
     added up along it, ``endpoints`` are node columns, or ``snap_dist``, at either end; mappings give first coefficients. ``of`` tells
     what ``baseline_time`` is after the first round: the trip's ``cost`` by the weights it was routed on, or its ``baseline`` duration,
-    with which coefficients of different rounds mean the same. The driver holds coefficients only; the snapped legs are written once. No usable leg is a DataError.
+    with which coefficients of different rounds mean the same. The driver holds coefficients only; the snapped legs are written once. No usable leg is a DataError,
+    as is a round that is ill-posed; without ``strict`` such a round is the last, its fit is undetermined (``least_squares``) and the
+    weights stay those it was routed on.
     """
     base = settled(edges.withColumn("__base", baseline_duration(speed)))
     trips = settled(usable_legs(legs, nodes, node=node, **snapping))
-    if trips.isEmpty():
+    if strict and trips.isEmpty():
         raise DataError("no usable leg")
     if of not in ("cost", "baseline"):
         raise ValueError("of must be cost or baseline")
@@ -190,7 +204,9 @@ def calibrate(edges: DataFrame, nodes: DataFrame, legs: DataFrame, *, factors: S
         done = settled(x)
         release(routed, graph)
         routed = done
-        fit = least_squares(routed, "__y", names)
+        fit = least_squares(routed, "__y", names, strict=strict)
+        if np.isnan(fit.coefficients).any():
+            break
         got = dict(zip(names, map(float, fit.coefficients), strict=True))
         alpha, shift = got["baseline_time"], got.get("const", 0.0)
         f, s = {n: got[f"{n}__mult"] for n in f}, {n: got[n] for n in s}

@@ -165,12 +165,16 @@ def _calib_fit(w: World) -> DataFrame:
 
 @query("calib_loop")
 def _calib_loop(w: World) -> DataFrame:
-    """The whole calibration on all legs: factors, sums and endpoint terms, two rounds; coefficients with their p-values."""
+    """The whole calibration on all legs: factors, sums and endpoint terms, two rounds; coefficients with their p-values.
+
+    Null where the trips determine none: too few, or features that depend on each other; ``n`` is of the last round done.
+    """
     edges = w.edges.filter(finite("speed_kph") & (F.col("speed_kph") > 0)).withColumn("lanes_known", F.coalesce("lane_count", F.lit(1.0))).withColumn("segments", F.lit(1.0))
     nodes = graph.edges_to_nodes(w.edges, "lane_count", "mean").withColumnRenamed("node", "node_id")
     nodes = w.nodes.join(nodes.withColumnRenamed("value", "lanes_at"), "node_id", "left").withColumn("lanes_at", F.coalesce("lanes_at", F.lit(1.0)))
-    got = calibrate.calibrate(edges, nodes, w.raw("legs"), factors=["lanes_known"], sums=["segments"], endpoints=["lanes_at", "snap_dist"], iterations=2, oneway="oneway", of="baseline", max_snap=300.0)
-    rows = [(n, float(c), float(p), float(got.fit.r2), got.fit.n) for n, c, p in zip(got.fit.names, got.fit.coefficients, got.fit.p_values, strict=True)]
+    got = calibrate.calibrate(edges, nodes, w.raw("legs"), factors=["lanes_known"], sums=["segments"], endpoints=["lanes_at", "snap_dist"], iterations=2, oneway="oneway", of="baseline", strict=False, max_snap=300.0)
+    defined = lambda x: None if math.isnan(x) else float(x)
+    rows = [(n, defined(c), defined(p), defined(got.fit.r2), got.fit.n) for n, c, p in zip(got.fit.names, got.fit.coefficients, got.fit.p_values, strict=True)]
     return w.spark.createDataFrame(rows, "name string, coefficient double, p_value double, r2 double, n bigint")
 
 

@@ -48,3 +48,11 @@ def test_undetermined_and_exact_least_squares(spark):
     assert np.isnan(few.coefficients).all() and math.isnan(few.r2) and few.n == 1
     with pytest.raises(ValueError):
         calibrate.least_squares(df, "y", ["one", "a"])
+
+
+@pytest.mark.parametrize("trips", [[4], [1, 2, 3]])
+def test_loop_without_enough_trips_has_no_coefficients(spark, tmp_path, trips):
+    d = folder(spark, tmp_path, [x for x in LEGS if x[0] in trips])
+    got = __spark_entry__.queries()["calib_loop"](spark, d).collect()
+    assert sorted(r.name for r in got) == sorted(["const", "baseline_time", "lanes_known__mult", "segments", "lanes_at_orig", "lanes_at_dest", "snap_dist_orig", "snap_dist_dest"])
+    assert {tuple(r)[1:] for r in got} == {(None, None, None, sum(t < 4 for t in trips))}
